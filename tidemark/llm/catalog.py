@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, rules
+from tidemark.llm import mixing, packing, quality, rules, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -15,6 +16,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -24,8 +38,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op6_quality_classifier, op8_mixing, op10_quality_rules)}
+
+
+OP2_SQL = """
+with sound as (
+    select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+),
+scored as (
+    select q.vec_id query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) score
+    from sound q join sound c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as integer) rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from scored) where rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_topk": OP2_SQL}
