@@ -112,7 +112,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     salts = max(1, c.count())
     dims = q.groupBy("dim").agg(F.collect_list("query_block").alias("query_blocks"))  # a number per thousands of queries
     pairs = c.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).join(F.broadcast(dims), "dim").withColumn("query_block", F.explode("query_blocks")).drop("query_blocks")
-    left = q.select("dim", "query_block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+    left = q.select("dim", "query_block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     met = pairs.join(left, ["dim", "query_block", "salt"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
