@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, quality, rules, topk, toxicity
+from tidemark.llm import licenses, line_dedup, mixing, packing, quality, rules, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,12 +38,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op6_quality_classifier, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op5_line_dedup, op6_quality_classifier, op8_mixing, op9_license_scan, op10_quality_rules)}
 
 
 OP2_SQL = """
@@ -55,5 +64,35 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT)}, ' ', 'g')"
+    for a, b in licenses.SPELLINGS:
+        out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
+    return f"trim(regexp_replace({out}, {_quoted(licenses.PUNCTUATION)}, ' ', 'g'))"
+
+
+def op9_sql() -> str:
+    rows = [*licenses.TEXTS.items(), *((k, p.format(n)) for k, names in licenses.NAMES.items() for n in names for p in licenses.PHRASES)]
+    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in rows)
+    splits = " union ".join(f"select doc_id, unnest(regexp_split_to_array(text, {_quoted(sep)})) unit from base" for _, sep in licenses.UNITS)
+    return f"""
+with known as (
+    select md5({_canonical_sql("text")}) digest, min(license) license from (values {values}) v(license, text) group by 1
+),
+base as (select doc_id, coalesce(text, '') text from documents where regexp_matches(coalesce(text, ''), {_quoted(licenses.TRIGGER)})),
+units as (select doc_id, text unit from base union {splits}),
+digests as (select distinct doc_id, md5({_canonical_sql("unit")}) digest from units where regexp_matches(unit, {_quoted(licenses.TRIGGER)})),
+whole as (select doc_id, md5({_canonical_sql("text")}) text_digest from base)
+select d.doc_id, w.text_digest, min(case when g.digest = w.text_digest then k.license end) whole_license,
+    coalesce(string_agg(distinct k.license, ',' order by k.license), '') licenses, count(k.license) n_units
+from documents d left join whole w using (doc_id) left join digests g using (doc_id) left join known k on g.digest = k.digest
+group by d.doc_id, w.text_digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op9_license_scan": op9_sql()}
