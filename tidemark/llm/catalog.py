@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, line_dedup, mixing, packing, quality, rules, topk, toxicity
+from tidemark.llm import licenses, line_dedup, mixing, ngram_join, packing, quality, rules, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))[0]
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op5_line_dedup, op6_quality_classifier, op8_mixing, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_quality_classifier, op8_mixing, op9_license_scan, op10_quality_rules)}
 
 
 OP2_SQL = """
