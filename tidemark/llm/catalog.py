@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, line_dedup, mixing, ngram_join, packing, quality, rules, topk, toxicity
+from tidemark.llm import licenses, line_dedup, mixing, ngram_join, packing, quality, rules, suffix_dedup, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -51,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_quality_classifier, op8_mixing, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_quality_classifier, op7_suffix_dedup, op8_mixing, op9_license_scan, op10_quality_rules)}
 
 
 OP2_SQL = """

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Buckets of hashed features; bucket 0 is the one that every document has.
 BUCKETS = 1 << 18
@@ -142,14 +143,19 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, most_rows: int
     return fit(np.concatenate(parts) if parts else np.zeros(0, np.int32), np.cumsum(size) - size, got.column("label").to_numpy())
 
 
-def score(docs: DataFrame, model: Model, features: Features, threshold: float) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; one pass over the texts, without a shuffle."""
+def scored(docs: DataFrame, model: Model, features: Features, name: str = "score") -> DataFrame:
+    """docs with a score for each row; one pass over the texts, without a shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # fixed by BUCKETS and RANK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts = features(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(held.value.scores(ids, starts), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.scores(ids, starts), pa.float64())], [*batch.schema.names, name])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def predictions(docs: DataFrame, model: Model, features: Features, threshold: float) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row."""
+    rows = scored(docs, model, features)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -19,6 +19,7 @@ classes are salted, and frequent shingles come last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -182,7 +183,7 @@ def meet(packed: DataFrame, small: int = SMALL, percent: int = PERCENT) -> DataF
     """Rows of kind 0: pairs (a, b) of classes with sizes na, nb that share c prefix shingles of small groups; of kind 1:
     members (token a, class b, size na) of larger groups."""
 
-    def run(key, parts: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], parts: pd.DataFrame) -> pd.DataFrame:
         token = np.frombuffer(b"".join(parts["tokens"]), "<u8")
         cid = np.frombuffer(b"".join(parts["cids"]), "<u8")
         n = np.frombuffer(b"".join(parts["sizes"]), "<i4")
@@ -296,7 +297,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     partners = dealt.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "tokens")
     asked = salts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(sets.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.col("a").alias("b"), "tokens")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         own = rows["b"].to_numpy() == key[0]
         query = np.frombuffer(rows["tokens"][own].iloc[0], "<u8")
         others = rows[~own]
@@ -318,7 +319,7 @@ def block_join(members: DataFrame, sets: DataFrame, percent: int = PERCENT, bloc
     dealt = dealt.withColumn("other", F.explode(cells)).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     rows = dealt.join(sets, "cid").select("token", "i", "j", "own", "cid", "label", "tokens")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         left = rows[rows["own"] == i]
         right = rows[rows["own"] == j]

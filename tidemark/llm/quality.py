@@ -54,14 +54,15 @@ def _rates(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray,
 def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of each row: distinct words, steps of the structure statistics, and the recorded length (n_chars)."""
     ids, sizes = [], []
-    lengths = batch.column("n_chars").cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    told = batch.column("n_chars").cast(pa.float64()) if "n_chars" in batch.schema.names else pa.nulls(len(batch), pa.float64())
+    lengths = told.fill_null(-1).to_numpy(zero_copy_only=False)
     spread = np.uint64(fm.BUCKETS - 1)
     for chunk in chunks(batch.column("text")):
         starts, ends, rows = words(chunk, MARKS)
         hashes = Hashes(LOWER[chunk.data]).of(starts, ends)
         rates = _rates(chunk, starts, ends, rows, hashes)
-        told = lengths[chunk.first : chunk.first + chunk.rows]
-        rates = np.column_stack([rates, np.where(told < 0, -1, np.log1p(np.maximum(told, 0)) / 14)])
+        own = lengths[chunk.first : chunk.first + chunk.rows]
+        rates = np.column_stack([rates, np.where(own < 0, -1, np.log1p(np.maximum(own, 0)) / 14)])
         step = np.clip(np.floor(rates * STEPS), -1, STEPS).astype(np.int64)
         stat = (np.arange(rates.shape[1]) * (STEPS + 2) + step + 1) * 2654435761 % int(spread)
         keys = np.concatenate([np.arange(chunk.rows) * fm.BUCKETS, rows * fm.BUCKETS + 1 + (hashes % spread).astype(np.int64), (np.arange(chunk.rows)[:, None] * fm.BUCKETS + 1 + stat).ravel()])
@@ -72,12 +73,29 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.cumsum(size) - size
 
 
+def _told(docs: DataFrame) -> list:
+    return [F.col("n_chars").cast("double")] if "n_chars" in docs.columns else []
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, most_rows: int) -> fm.Model:
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_told(docs))
+    return fm.train(rows, labels.select(F.col("doc_id").cast("long"), F.col("quality").alias("label")), features, most_rows)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, most_rows: int = fm.MOST_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that quality() predicts 1 for."""
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return fm.scored(docs, _fitted(docs, labels, most_rows), features, name).where(F.col(name) >= threshold).drop(name)
+
+
 def quality(docs: DataFrame, labels: DataFrame, most_rows: int = fm.MOST_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of (doc_id, text, n_chars), learned from labels (doc_id, quality).
 
-    Null and empty texts are scored by their statistics alone; a null n_chars is a step of its own.
+    Null and empty texts are scored by their statistics alone; a null n_chars (or none at all) is a step of its own.
+    Repeated rows are scored each.
     """
-    told = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double").alias("n_chars")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), told)
-    model = fm.train(docs, labels.select(F.col("doc_id").cast("long"), F.col("quality").alias("label")), features, most_rows)
-    return fm.score(docs, model, features, threshold)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_told(docs))
+    model = _fitted(docs, labels, most_rows)
+    return fm.predictions(docs, model, features, threshold)

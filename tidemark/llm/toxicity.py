@@ -39,4 +39,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = fm.MOST_ROWS,
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     model = fm.train(docs, labels.select(F.col("doc_id").cast("long"), F.col("toxic").alias("label")), terms, most_rows)
-    return fm.score(docs, model, terms, threshold)
+    return fm.predictions(docs, model, terms, threshold)
