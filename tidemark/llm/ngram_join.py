@@ -34,8 +34,8 @@ from tidemark.llm.text_vectors import Chunk, chunks, mixed, shingles
 WORDS = 5
 PERCENT = 75
 #: A shingle is put last in the order if so many classes have it, counting the tasks' files in which FEW have it.
-FREQUENT = 48
-FEW = 6
+FREQUENT = 12
+FEW = 2
 #: So many shingles are put last at most (8 bytes each are broadcast): the most frequent. Others only cost time.
 MOST_FREQUENT = 1_000_000
 #: Groups of so many classes give all their pairs to be counted.
@@ -79,6 +79,17 @@ def overlap_needed(n, m, percent: int = PERCENT):
     return -((-percent * (n + m)) // (100 + percent))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each token, in order."""
+    return np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -145,7 +156,7 @@ def prefixes(docs: DataFrame, last, buckets: int, words: int = WORDS, percent: i
         held: list[tuple] = []
         size = 0
 
-        def packed() -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
             nonlocal held, size
             token, cid, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held, size = [], 0
@@ -172,9 +183,9 @@ def prefixes(docs: DataFrame, last, buckets: int, words: int = WORDS, percent: i
                 held.append((h[at], np.repeat(digest[rows], p), np.repeat(n[rows], p)))
                 size += len(at)
                 if size > HELD:
-                    yield packed()
+                    yield flush()
         if held:
-            yield packed()
+            yield flush()
 
     return docs.mapInArrow(run, "bucket long, tokens binary, cids binary, sizes binary")
 
@@ -285,7 +296,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, last, words: i
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 h, starts, n, digest = _ordered(chunk, words, last.value)
-                yield pa.RecordBatch.from_arrays([_signed(digest), pa.array([h[a : a + k].astype("<u8").tobytes() for a, k in zip(starts, n, strict=True)], pa.binary())], ["cid", "tokens"])
+                yield pa.RecordBatch.from_arrays([_signed(digest), pa.array([packed(h[a : a + k]) for a, k in zip(starts, n, strict=True)], pa.binary())], ["cid", "tokens"])
 
     return texts.mapInArrow(run, "cid long, tokens binary").groupBy("cid").agg(F.any_value("tokens").alias("tokens"))
 
@@ -299,9 +310,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         own = rows["b"].to_numpy() == key[0]
-        query = np.frombuffer(rows["tokens"][own].iloc[0], "<u8")
+        query = unpacked(rows["tokens"][own].iloc[0])
         others = rows[~own]
-        tree = PrefixTree([np.frombuffer(t, "<u8") for t in others["tokens"]])
+        tree = PrefixTree([unpacked(t) for t in others["tokens"]])
         found = list(tree.similar(query, percent))
         return pd.DataFrame({"a": np.full(len(found), key[0], np.int64), "b": others["b"].to_numpy()[found].astype(np.int64)})
 
@@ -323,11 +334,11 @@ def block_join(members: DataFrame, sets: DataFrame, percent: int = PERCENT, bloc
         _, i, j = key
         left = rows[rows["own"] == i]
         right = rows[rows["own"] == j]
-        tree = PrefixTree([np.frombuffer(t, "<u8") for t in left["tokens"]])
+        tree = PrefixTree([unpacked(t) for t in left["tokens"]])
         labels, ids = left["label"].to_numpy(), left["cid"].to_numpy()
         out = []
         for cid, label, tokens in zip(right["cid"], right["label"], right["tokens"], strict=True):
-            out += [(ids[p], cid) for p in tree.similar(np.frombuffer(tokens, "<u8"), percent, lambda p: labels[p] == label)]  # noqa: B023
+            out += [(ids[p], cid) for p in tree.similar(unpacked(tokens), percent, lambda p: labels[p] == label)]  # noqa: B023
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return rows.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
@@ -338,8 +349,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
 
     Words are runs of characters that aren't ASCII white space, in lower case for A-Z. Null and empty texts, and texts
     without words, have the empty set: they are linked with nothing. Rows that repeat a doc_id are one document if their
-    texts have equal sets, and are linked apart otherwise. An empty table gives an empty one. Links are verified on 64-bit
-    hashes of shingles; they connect all similar classes, but a family of near copies gets a spanning set of links only.
+    texts have equal sets, and are linked apart otherwise. An empty table gives an empty one. Sets are compared by
+    48 bits of the shingles' hashes; they connect all similar classes, but a family of near copies gets a spanning set of links only.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -351,7 +362,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
     total = reps.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     met = settle(meet(prefixes(docs, last, buckets, words, percent), small, percent), "met")
-    members = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"))
+    members = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), F.col("na").alias("n"))
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     uncounted = settle(members.groupBy("cid").agg(F.count("*").alias("g")), "uncounted")
     for side in "ab":
@@ -360,15 +371,19 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     pairs = pairs.where(F.col("c") + F.least("ga", "gb") + F.ceil(F.lit(percent) * larger / 100) - 1 >= need).select("a", "b")
     # stars over the large groups, about their first and their last member
-    ends = members.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    starred = members.join(ends, "token").select("cid", F.explode(F.array("lo", "hi")).alias("hub")).where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+    one = F.struct("cid", "n")
+    ends = members.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    starred = members.join(ends, "token").select("cid", "n", F.explode(F.array("lo", "hi")).alias("hub")).where("cid <> hub.cid")
+    starred = starred.where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    starred = starred.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"))
     pairs = settle(pairs.unionByName(starred).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(members.select("cid")).distinct()
     sets = settle(_sets_of(docs, wanted, reps, last, words), "sets")
     links = settle(verified(pairs, sets, percent), "links")
     labels = components(links).select(F.col("vertex").alias("cid"), F.col("component").alias("label"))
     labelled = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    apart = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    apart = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("h")).where("x <> y")
+    apart = apart.groupBy("k", "h").agg(F.min("token").alias("token")).select("token")  # of tokens with the same members one
     apart = settle(labelled.join(apart, "token"), "apart")
     if not apart.isEmpty():
         links = settle(links.unionByName(block_join(apart, sets, percent)).distinct(), "links")
