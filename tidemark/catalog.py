@@ -170,7 +170,9 @@ from customer c left join filled f on c.c_custkey = f.user_id"""
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return _own()
+    from tidemark import scoring_catalog
+
+    return _own() | scoring_catalog.entries()
 
 
 def queries() -> dict[str, Query]:
