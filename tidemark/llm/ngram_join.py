@@ -38,6 +38,8 @@ FREQUENT = 12
 FEW = 2
 #: So many shingles are put last at most (8 bytes each are broadcast): the most frequent. Others only cost time.
 MOST_FREQUENT = 1_000_000
+#: Members of a larger group that all others of it are compared with first.
+HUBS = 5
 #: Groups of so many classes give all their pairs to be counted.
 SMALL = 48
 #: Prefix shingles in a bucket, about; partners of a class that are verified together, about.
@@ -319,29 +321,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return partners.unionByName(asked).groupBy("a", "salt").applyInPandas(run, "a long, b long")
 
 
-def block_join(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = 128) -> DataFrame:
-    """Links (a, b) between members (token, cid, label) of one token that have different labels, block by block.
+def block_join(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = TOGETHER) -> DataFrame:
+    """Links (a, b) between members (token, cid, label) of one token that have different labels.
 
-    Every block of a token meets every other block of it once; a task holds two blocks.
+    Members of a token are dealt to blocks. Those without the token's most frequent label visit every block of it, and there
+    meet the prefix tree of the block. So a family in which all but a few are connected already costs what these few cost.
+    A pair is looked at under its first common token alone.
     """
-    sized = members.groupBy("token").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = members.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    sizes = members.groupBy("token", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.ceil(F.sum("n") / block).alias("blocks"))
+    tokens = members.groupBy("cid").agg(F.sort_array(F.collect_set("token")).alias("all"))  # a prefix of one set at most
+    dealt = members.join(main, "token").join(tokens, "cid")
+    own = dealt.withColumns({"block": F.pmod(F.xxhash64("cid"), F.col("blocks")), "asks": F.lit(False)})
     cells = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = dealt.withColumn("other", F.explode(cells)).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = dealt.join(sets, "cid").select("token", "i", "j", "own", "cid", "label", "tokens")
+    asking = dealt.where("label <> main").withColumns({"block": F.explode(cells), "asks": F.lit(True)})
+    rows = own.unionByName(asking).join(sets, "cid").select("token", "block", "asks", "cid", "label", "all", "tokens")
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left = rows[rows["own"] == i]
-        right = rows[rows["own"] == j]
-        tree = PrefixTree([unpacked(t) for t in left["tokens"]])
-        labels, ids = left["label"].to_numpy(), left["cid"].to_numpy()
+        token = int(key[0])
+        there, asks = rows[~rows["asks"]], rows[rows["asks"]]
         out = []
-        for cid, label, tokens in zip(right["cid"], right["label"], right["tokens"], strict=True):
-            out += [(ids[p], cid) for p in tree.similar(unpacked(tokens), percent, lambda p: labels[p] == label)]  # noqa: B023
+        if len(asks) and len(there):
+            tree = PrefixTree([unpacked(t) for t in there["tokens"]])
+            labels, ids, groups = there["label"].to_numpy(), there["cid"].to_numpy(), [set(map(int, x)) for x in there["all"]]
+            for cid, label, mine, tokens in zip(asks["cid"], asks["label"], asks["all"], asks["tokens"], strict=True):
+                before = {int(t) for t in mine if t < token}
+                skip = lambda p: labels[p] == label or not before.isdisjoint(groups[p])  # noqa: B023, E731
+                out += [(ids[p], cid) for p in tree.similar(unpacked(tokens), percent, skip)]
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return rows.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("token", "block").applyInPandas(run, "a long, b long")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int = SMALL, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -370,10 +379,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
     larger = F.greatest("na", "nb")
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     pairs = pairs.where(F.col("c") + F.least("ga", "gb") + F.ceil(F.lit(percent) * larger / 100) - 1 >= need).select("a", "b")
-    # stars over the large groups, about their first and their last member
-    one = F.struct("cid", "n")
-    ends = members.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
-    starred = members.join(ends, "token").select("cid", "n", F.explode(F.array("lo", "hi")).alias("hub")).where("cid <> hub.cid")
+    # stars over the large groups, about a few members that tokens with much the same members have in common
+    least = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n")).alias(f"h{k}") for k in range(HUBS)]
+    hubs = members.groupBy("token").agg(*least)
+    starred = members.join(hubs, "token").select("cid", "n", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hub")).where("cid <> hub.cid")
     starred = starred.where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
     starred = starred.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"))
     pairs = settle(pairs.unionByName(starred).distinct(), "pairs")
