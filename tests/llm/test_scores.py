@@ -27,7 +27,7 @@ def test_learns_an_interaction():
     rng = np.random.default_rng(1)
     a, b = rng.random(4000) < 0.4, rng.random(4000) < 0.4
     y = (a & b).astype(int)
-    rows = [[0] + [1] * i + [2] * j + [3 + k] for i, j, k in zip(a, b, rng.integers(0, 20, 4000), strict=True)]
+    rows = [[0] + [1] * int(i) + [2] * int(j) + [3 + k] for i, j, k in zip(a, b, rng.integers(0, 20, 4000), strict=True)]
     ids = np.concatenate(rows)
     size = np.array([len(r) for r in rows])
     model = fm.fit(ids, np.cumsum(size) - size, y, buckets=64)
