@@ -3,12 +3,12 @@
 The statistics of a text become a short vector of transformed rates. For each language and source the minimum covariance
 determinant is sought by concentration steps: from medians and spreads, keep the share of rows nearest to the centre, take
 their mean and covariance, measure again. Documents far from the centre by Mahalanobis distance are rejected. Every step is
-one aggregation to a small table and one join back, over a table of a few numbers per document.
+one aggregation to a small table and one join back, for all groups at once, over a table of a few numbers per document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, let, settle
@@ -29,6 +29,9 @@ FARTHEST = 25.74
 FEWEST_ROWS = 100
 #: Variances are raised by so much, which is what a clean text may differ in a rate that its group does not vary in.
 FLOOR = (0.15, 0.05, 0.05, 0.05, 0.05)
+#: Slices of distance for each step of its logarithm; the core ends with a slice.
+SLICES = 64
+GROUP = ["level", "g_lang", "g_source"]
 #: The axes of the vector.
 AXES = ("a_words", "a_length", "a_symbols", "a_lines", "a_repeats")
 
@@ -112,19 +115,32 @@ def _distance() -> Column:
     return sum((z * z for z in solved), F.lit(0.0))
 
 
-def _estimate(rows: DataFrame, group: list[str], core: float, steps: int) -> DataFrame:
-    """The factor of each group with enough rows. rows: group's columns and AXES."""
+def _levels(rows: DataFrame) -> DataFrame:
+    """Each row of (lang, source, AXES) three times: in its source's group, in its language's, and in that of all."""
+    names = [("lang", "source"), ("lang", None), (None, None)]
+    groups = [F.struct(F.lit(k).alias("level"), (F.col(x) if x else F.lit("")).alias("g_lang"), (F.col(y) if y else F.lit("")).alias("g_source")) for k, (x, y) in enumerate(names)]
+    return rows.select(F.explode(F.array(*groups)).alias("g"), *AXES).select("g.*", *AXES)
+
+
+def _estimate(rows: DataFrame, core: float, steps: int) -> DataFrame:
+    """The factor of each group (of GROUP) with enough rows. rows: GROUP and AXES.
+
+    A concentration step is one aggregation: rows are summed by slices of their distance, and the nearest slices that
+    hold the core are added up. So a group of any size is a few hundred rows before it's shuffled.
+    """
     d = range(len(AXES))
-    middle = rows.groupBy(*group).agg(F.count("*").alias("n"), *[F.percentile_approx(a, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, a in enumerate(AXES)]).where(F.col("n") >= FEWEST_ROWS)
+    middle = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.percentile_approx(a, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, a in enumerate(AXES)]).where(F.col("n") >= FEWEST_ROWS)
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in d]
-    factor = middle.select(*group, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in d], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in d for j in d if j <= i])
+    factor = middle.select(*GROUP, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in d], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in d for j in d if j <= i])
+    moments = {f"s{i}": F.col(AXES[i]) for i in d} | {f"s{i}_{j}": F.col(AXES[i]) * F.col(AXES[j]) for i in d for j in d if j <= i}
+    whole = Window.partitionBy(*GROUP)
+    before = F.coalesce(F.sum("n").over(whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     for _ in range(steps):
         factor = settle(factor, "factor")
-        far = rows.join(factor, group).select(*group, *AXES, _distance().alias("d2"))
-        edge = settle(far.groupBy(*group).agg(F.percentile_approx("d2", core, 1000).alias("edge")), "edge")
-        inner = far.join(edge, group).where("d2 <= edge")
-        sums = [F.sum(AXES[i]).alias(f"s{i}") for i in d] + [F.sum(F.col(AXES[i]) * F.col(AXES[j])).alias(f"s{i}_{j}") for i in d for j in d if j <= i]
-        factor = _factor(inner.groupBy(*group).agg(F.count("*").alias("n"), *sums), group)
+        sliced = rows.join(factor, GROUP).withColumn("slice", F.floor(SLICES * F.log1p(_distance())))
+        sliced = sliced.groupBy(*GROUP, "slice").agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in moments.items()])
+        inner = sliced.withColumns({"_before": before, "_all": F.sum("n").over(whole)}).where(F.col("_before") < core * F.col("_all"))
+        factor = _factor(inner.groupBy(*GROUP).agg(*[F.sum(k).alias(k) for k in ["n", *moments]]), GROUP)
     return settle(factor, "factor")
 
 
@@ -135,12 +151,12 @@ def apply_rules(docs: DataFrame, core: float = CORE, steps: int = STEPS, farthes
     groups of their own. Where no group of a document has enough rows, distance2 is null and the base rules decide.
     """
     stats = settle(text_statistics(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), "text")).withColumns(vector()).withColumn("base_failed", base_failed()), "statistics")
-    passed = stats.where("not base_failed").withColumn("everything", F.lit(0))
+    factor = _estimate(_levels(stats.where("not base_failed")), core, steps)
     names = [f"m{i}" for i in range(len(AXES))] + [f"l{i}_{j}" for i in range(len(AXES)) for j in range(i + 1)]
-    out = stats.withColumn("everything", F.lit(0))
-    for level, group in enumerate((["lang", "source"], ["lang"], ["everything"])):
-        factor = _estimate(passed.select(*group, *AXES), group, core, steps)
-        out = out.join(factor.withColumnsRenamed({n: f"{n}@{level}" for n in names}), group, "left")
+    out = stats.withColumn("_none", F.lit(""))
+    for level, (lang, source) in enumerate((("lang", "source"), ("lang", "_none"), ("_none", "_none"))):
+        own = factor.where(F.col("level") == level).select(F.col("g_lang").alias(f"lang@{level}"), F.col("g_source").alias(f"source@{level}"), *[F.col(n).alias(f"{n}@{level}") for n in names])
+        out = out.join(own, (F.col(lang) == F.col(f"`lang@{level}`")) & (F.col(source) == F.col(f"`source@{level}`")), "left")
     out = out.withColumns({n: F.coalesce(*[F.col(f"`{n}@{level}`") for level in range(3)]) for n in names}).withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= farthest, F.lit(True))
     return out.select("doc_id", "n_words", "n_chars", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "distance2", "base_failed", kept.alias("kept"))
