@@ -122,3 +122,13 @@ def test_rules(spark):
     assert sum(got[i].kept for i in range(300)) >= 298
     assert not got[300 + 7].kept  # symbols in every word
     assert rules.apply_rules(spark.createDataFrame([], "doc_id long, lang string, source string, text string")).count() == 0
+
+
+def test_rules_with_more_groups_than_are_broadcast(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["en", "de"]), rng.choice(["s", "t", None]), " ".join(word(rng) for _ in range(rng.randint(40, 90)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3).cache()
+    once = {r.doc_id: (r.kept, round(r.distance2, 6)) for r in rules.apply_rules(df).collect()}
+    monkeypatch.setattr(rules, "MOST_GROUPS", 0)
+    assert once == {r.doc_id: (r.kept, round(r.distance2, 6)) for r in rules.apply_rules(df).collect()}
+    df.unpersist()

@@ -32,6 +32,9 @@ FLOOR = (0.15, 0.05, 0.05, 0.05, 0.05)
 #: Slices of distance for each step of its logarithm; the core ends with a slice.
 SLICES = 64
 GROUP = ["level", "g_lang", "g_source"]
+#: Groups (of 22 numbers each) whose estimates are broadcast at most; beyond that each is met by so many salted keys.
+MOST_GROUPS = 10_000
+SALTS = 32
 #: The axes of the vector.
 AXES = ("a_words", "a_length", "a_symbols", "a_lines", "a_repeats")
 
@@ -122,6 +125,14 @@ def _levels(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(*groups)).alias("g"), *AXES).select("g.*", *AXES)
 
 
+def _met(rows: DataFrame, factor: DataFrame) -> DataFrame:
+    """rows with the factor of their group, whose rows are counted: few are broadcast, more are joined by salted keys."""
+    if factor.count() <= MOST_GROUPS:
+        return rows.join(F.broadcast(factor), GROUP)
+    salted = factor.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(salted, [*GROUP, "salt"]).drop("salt")
+
+
 def _estimate(rows: DataFrame, core: float, steps: int) -> DataFrame:
     """The factor of each group (of GROUP) with enough rows. rows: GROUP and AXES.
 
@@ -137,7 +148,7 @@ def _estimate(rows: DataFrame, core: float, steps: int) -> DataFrame:
     before = F.coalesce(F.sum("n").over(whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     for _ in range(steps):
         factor = settle(factor, "factor")
-        sliced = rows.join(factor, GROUP).withColumn("slice", F.floor(SLICES * F.log1p(_distance())))
+        sliced = _met(rows, factor).withColumn("slice", F.floor(SLICES * F.log1p(_distance())))
         sliced = sliced.groupBy(*GROUP, "slice").agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in moments.items()])
         inner = sliced.withColumns({"_before": before, "_all": F.sum("n").over(whole)}).where(F.col("_before") < core * F.col("_all"))
         factor = _factor(inner.groupBy(*GROUP).agg(*[F.sum(k).alias(k) for k in ["n", *moments]]), GROUP)
@@ -154,9 +165,10 @@ def apply_rules(docs: DataFrame, core: float = CORE, steps: int = STEPS, farthes
     factor = _estimate(_levels(stats.where("not base_failed")), core, steps)
     names = [f"m{i}" for i in range(len(AXES))] + [f"l{i}_{j}" for i in range(len(AXES)) for j in range(i + 1)]
     out = stats.withColumn("_none", F.lit(""))
+    few = factor.count() <= MOST_GROUPS
     for level, (lang, source) in enumerate((("lang", "source"), ("lang", "_none"), ("_none", "_none"))):
         own = factor.where(F.col("level") == level).select(F.col("g_lang").alias(f"lang@{level}"), F.col("g_source").alias(f"source@{level}"), *[F.col(n).alias(f"{n}@{level}") for n in names])
-        out = out.join(own, (F.col(lang) == F.col(f"`lang@{level}`")) & (F.col(source) == F.col(f"`source@{level}`")), "left")
+        out = out.join(F.broadcast(own) if few else own, (F.col(lang) == F.col(f"`lang@{level}`")) & (F.col(source) == F.col(f"`source@{level}`")), "left")
     out = out.withColumns({n: F.coalesce(*[F.col(f"`{n}@{level}`") for level in range(3)]) for n in names}).withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= farthest, F.lit(True))
     return out.select("doc_id", "n_words", "n_chars", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "distance2", "base_failed", kept.alias("kept"))
