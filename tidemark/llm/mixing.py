@@ -75,7 +75,10 @@ def _meet(state: Column, item: Column, seed: int) -> Column:
 
 
 def pivotal(items: DataFrame, most_in_source: int, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
-    """Rows (source, item of ITEM) as (source, item, more): more is 0 or 1, with mean item.part."""
+    """Rows (source, item of ITEM) as (source, item, more): more is 0 or 1, with mean item.part.
+
+    most_in_source: the chunks of the largest source on the first level. One document of a source at most is rounded alone.
+    """
     start = F.lit(None).cast(STATE)
     start = F.struct(F.array().cast(f"array<struct<item: {ITEM}, more: double>>").alias("out"), F.lit(None).cast(ITEM).alias("held"))
     level, results = 0, []
@@ -87,10 +90,10 @@ def pivotal(items: DataFrame, most_in_source: int, seed: int = SEED, chunk: int
         folded = settle(folded, f"level{level}")
         results.append(folded.select("source", F.explode("state.out").alias("o")).select("source", "o.item", "o.more"))
         rest = folded.where("state.held is not null").select("source", F.col("state.held").alias("item"), F.ceil(F.col("chunks") / chunk).cast("long").alias("chunks"))
-        most_in_source = -(-most_in_source // chunk)
         level += 1
-        if most_in_source <= 1:
+        if most_in_source <= 1:  # each source met in one chunk, which leaves one at most
             break
+        most_in_source = -(-most_in_source // chunk)
     alone = (unit(F.col("item.doc_id"), F.lit(seed), F.lit("last")) < F.col("item.part")).cast("double")
     results.append(rest.select("source", "item", alone.alias("more")))
     out = results[0]
