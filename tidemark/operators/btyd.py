@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of counts that the driver fits on at most: the most frequent summaries. More are rounded together by the caller.
+#: Rows of counts that the driver fits on at most. More stay in Spark, which adds up the likelihood of all for each step.
 MOST_SUMMARIES = 200_000
 
 
@@ -33,38 +33,66 @@ def _lgamma(x):
     return _LGAMMA(np.asarray(x, float)).astype(float)
 
 
-def bgnbd_loglik(theta: np.ndarray, x: np.ndarray, tx: np.ndarray, t: np.ndarray, n: np.ndarray, penalty: float = 0.01) -> float:
+def _bgnbd_each(theta: np.ndarray, x: np.ndarray, tx: np.ndarray, t: np.ndarray) -> np.ndarray:
     r, alpha, a, b = np.exp(theta)
     one = _lgamma(r + x) - math.lgamma(r) + r * np.log(alpha)
     two = math.lgamma(a + b) + _lgamma(b + x) - math.lgamma(b) - _lgamma(a + b + x)
     three = -(r + x) * np.log(alpha + t)
     four = np.where(x > 0, np.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + tx), -np.inf)
-    each = one + two + np.logaddexp(three, four)
-    return float((each * n).sum() / n.sum() - penalty * (np.exp(theta) ** 2).sum())
+    return one + two + np.logaddexp(three, four)
 
 
-def gamma_gamma_loglik(theta: np.ndarray, x: np.ndarray, m: np.ndarray, n: np.ndarray, penalty: float = 0.01) -> float:
+def bgnbd_loglik(theta: np.ndarray, x: np.ndarray, tx: np.ndarray, t: np.ndarray, n: np.ndarray, penalty: float = 0.01) -> float:
+    return float((_bgnbd_each(theta, x, tx, t) * n).sum() / n.sum() - penalty * (np.exp(theta) ** 2).sum())
+
+
+def _gamma_gamma_each(theta: np.ndarray, x: np.ndarray, m: np.ndarray) -> np.ndarray:
     p, q, v = np.exp(theta)
-    each = _lgamma(p * x + q) - _lgamma(p * x) - math.lgamma(q) + q * np.log(v) + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v)
-    return float((each * n).sum() / n.sum() - penalty * (np.exp(theta) ** 2).sum())
+    return _lgamma(p * x + q) - _lgamma(p * x) - math.lgamma(q) + q * np.log(v) + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v)
+
+
+def gamma_gamma_loglik(theta: np.ndarray, x: np.ndarray, m: np.ndarray, n: np.ndarray, penalty: float = 0.01) -> float:
+    return float((_gamma_gamma_each(theta, x, m) * n).sum() / n.sum() - penalty * (np.exp(theta) ** 2).sum())
+
+
+def _scores(counts: DataFrame, columns: tuple[str, ...], each, penalty: float):
+    """A function from points to their mean log-likelihoods over all of counts (columns and n), less the penalty."""
+    counts = counts.select(*[F.col(c).cast("double") for c in (*columns, "n")])
+    some = counts.limit(MOST_SUMMARIES + 1).toPandas()
+    if len(some) <= MOST_SUMMARIES:
+        x, n = [some[c].to_numpy(float) for c in columns], some["n"].to_numpy(float)
+        return lambda points: [float((each(p, *x) * n).sum() / n.sum() - penalty * (np.exp(p) ** 2).sum()) for p in points]
+    everyone = counts.agg(F.sum("n")).first()[0]
+
+    def scores(points: list[np.ndarray]) -> list[float]:
+        def add(batches):
+            sums = np.zeros(len(points))
+            for b in batches:
+                x, n = [b[c].to_numpy(float) for c in columns], b["n"].to_numpy(float)
+                sums += [(each(p, *x) * n).sum() for p in points]
+            yield pd.DataFrame({"point": range(len(points)), "s": sums})
+
+        sums = dict(counts.mapInPandas(add, "point int, s double").groupBy("point").agg(F.sum("s")).collect())
+        return [sums[i] / everyone - penalty * float((np.exp(p) ** 2).sum()) for i, p in enumerate(points)]
+
+    return scores
 
 
-def _climb(score, start: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Nelder and Mead's simplex search for the largest score."""
+def _climb(scores, start: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Nelder and Mead's simplex search for the largest score; the trial points of a round are scored at once."""
     size = len(start)
     points = [start] + [start + 0.5 * np.eye(size)[i] for i in range(size)]
-    values = [score(p) for p in points]
+    values = scores(points)
     for _ in range(rounds):
         order = np.argsort(values)[::-1]
         points, values = [points[i] for i in order], [values[i] for i in order]
         if abs(values[0] - values[-1]) < 1e-10:
             break
         centre = np.mean(points[:-1], axis=0)
-        for step in (1.0, 2.0, -0.5):
+        trials = [(step, centre + step * (centre - points[-1])) for step in (1.0, 2.0, -0.5)]
+        for (step, trial), value in zip(trials, scores([t for _, t in trials]), strict=True):
             if step == 2.0 and not better:  # noqa: F821
                 continue
-            trial = centre + step * (centre - points[-1])
-            value = score(trial)
             better = value > values[0]
             if value > values[-1]:
                 points[-1], values[-1] = trial, value
@@ -74,27 +102,26 @@ def _climb(score, start: np.ndarray, rounds: int = 400) -> np.ndarray:
                 break
         else:
             points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-            values = [values[0]] + [score(p) for p in points[1:]]
+            values = [values[0]] + scores(points[1:])
     return points[int(np.argmax(values))]
 
 
 def fit_bgnbd(rows: DataFrame, penalty: float = 0.01) -> tuple[float, float, float, float]:
     """r, alpha, a, b. rows: frequency, recency, T."""
-    counts = rows.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "frequency", "recency", "T").limit(MOST_SUMMARIES).toPandas()
-    x, tx, t, n = (counts[c].to_numpy(float) for c in ("frequency", "recency", "T", "n"))
-    unit = max(1.0, t.max() / 10)  # time in tenths of the longest age, so that the search starts well
-    r, alpha, a, b = np.exp(_climb(lambda p: bgnbd_loglik(p, x, tx / unit, t / unit, n, penalty), np.zeros(4)))
+    counts = rows.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n")).persist()
+    unit = max(1.0, counts.agg(F.max("T")).first()[0] / 10)  # time in tenths of the longest age, so that the search starts well
+    scaled = counts.select("frequency", (F.col("recency") / unit).alias("recency"), (F.col("T") / unit).alias("T"), "n")
+    r, alpha, a, b = np.exp(_climb(_scores(scaled, ("frequency", "recency", "T"), _bgnbd_each, penalty), np.zeros(4)))
+    counts.unpersist()
     return float(r), float(alpha * unit), float(a), float(b)
 
 
 def fit_gamma_gamma(rows: DataFrame, penalty: float = 0.01) -> tuple[float, float, float]:
     """p, q, v. rows: frequency, monetary_value; those of users with repeat purchases count."""
-    own = rows.where("frequency > 0 and monetary_value > 0").groupBy("frequency", F.round("monetary_value", 0).alias("m")).agg(F.count("*").alias("n"))
-    counts = own.orderBy(F.desc("n"), "frequency", "m").limit(MOST_SUMMARIES).toPandas()
-    x, m, n = (counts[c].to_numpy(float) for c in ("frequency", "m", "n"))
-    m = np.maximum(m, 1)
-    unit = float((m * n).sum() / n.sum())
-    p, q, v = np.exp(_climb(lambda z: gamma_gamma_loglik(z, x, m / unit, n, penalty), np.zeros(3)))
+    own = rows.where("frequency > 0 and monetary_value > 0").groupBy("frequency", F.greatest(F.lit(1.0), F.round("monetary_value", 0)).alias("m")).agg(F.count("*").alias("n")).persist()
+    unit = float(own.agg(F.sum(F.col("m") * F.col("n")) / F.sum("n")).first()[0])
+    p, q, v = np.exp(_climb(_scores(own.select("frequency", (F.col("m") / unit).alias("m"), "n"), ("frequency", "m"), _gamma_gamma_each, penalty), np.zeros(3)))
+    own.unpersist()
     return float(p), float(q), float(v * unit)
 
 
