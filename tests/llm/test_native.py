@@ -33,27 +33,6 @@ def test_line_dedup_keeps_the_first_of_similar_lines(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_line_signatures_find_similar_lines(spark):
-    """Recall of the bands over pairs at and above the threshold, against all pairs."""
-    rng = random.Random(8)
-    lines = []
-    for _ in range(60):
-        base = [word(rng) for _ in range(rng.randint(12, 60))]
-        lines.append(" ".join(base))
-        for _ in range(2):
-            copy = list(base)
-            for _ in range(max(1, len(base) // 25)):
-                copy[rng.randrange(len(copy))] = word(rng)
-            lines.append(" ".join(copy))
-    cut = lambda s: {s[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)(?=\S.{11})", s)} or {s}
-    sets = [cut(s) for s in lines]
-    pairs = {(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string").withColumn("sig", line_dedup.signature(F.col("line")))
-    found = components(line_dedup.candidate_pairs(df.select("line_id", "sig")))
-    group = dict(found.collect())
-    assert sum(group.get(a, a) == group.get(b, b) for a, b in pairs) >= 0.97 * len(pairs)
-
-
 def test_licenses(spark):
     mit = "Copyright (c) 2001 Someone\n\n" + licenses.TEXTS["MIT"].lower().replace(",", " ,")
     docs = [(1, mit), (2, "Words.\nReleased under the MIT Licence.\nMore."), (3, "Licensed under CC BY-NC 4.0. Then more words."), (4, None), (5, "no licence here"), (6, "Licensed under the Apache License, Version 2.0.")]

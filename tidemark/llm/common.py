@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Counted rows of a key and a number or two that are broadcast at most; joins with more shuffle.
+MOST_BROADCAST = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +27,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a single machine takes a folder of its own; a cluster has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
@@ -38,6 +46,28 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*settled: DataFrame) -> None:
+    """Deletes settled tables that nothing will read any more."""
+    for df in settled:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, a settled table of a key and a number or two, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def fresh(names: Iterable[str], name: str) -> str:
+    """name, or one like it that isn't among names, which columns are matched by in either case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
