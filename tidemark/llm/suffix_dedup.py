@@ -4,18 +4,18 @@ Sorting a suffix for every byte would move a hundred times the corpus, so suffix
 of LENGTH bytes one position is its anchor: the first of those GRAM-byte pieces whose hash is least (winnowing). Equal
 strings have their anchor at the same place, and neighbouring strings share one, so there is an anchor per 35 bytes or so.
 
-1. Anchors are packed and dealt to buckets by the hash of their piece. Where the whole context of an anchor (all strings
-   that it stands for) occurred earlier, it is removed at once. Where only the piece did, the context is looked at closely.
-2. Those contexts are sorted as suffixes from the anchor on: each task makes sorted runs, front-coded (the length that a
-   suffix has in common with the one before, and the rest). The runs of a bucket are combined by a loser tree that knows
-   how much each head has in common with the last winner, and compares only what comes after that.
+1. Anchors are packed and dealt to buckets by the hash of their piece. Those whose piece occurs nowhere else can't repeat
+   and are left out; this decides nothing else.
+2. The contexts of all others (all strings that they stand for) are sorted as suffixes from the anchor on: each task makes
+   sorted runs, front-coded (the length that a suffix has in common with the one before, and the rest). The runs of a bucket
+   are combined by a loser tree that knows how much each head has in common with the last winner, and compares only what
+   comes after that.
 3. Of neighbours in the merged order the common lengths are known, so are the classes of suffixes that agree in their
    first n bytes. With the same for what stands before the anchor, strings are equal if both classes are; all but the first
    of a class are removed.
 4. Removed ranges are united by document and cut from the texts.
 
-Copies collapse inside a task before anything is sent, so a group of copies sends a few rows per task. Positions count
-bytes of UTF-8; matches never cross documents.
+In a run, a repeated suffix costs its place alone. Positions count bytes of UTF-8; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import drop, settle
 from tidemark.llm.text_vectors import Chunk, Hashes, chunks, mixed
 
 LENGTH = 100
@@ -40,16 +40,16 @@ RUN = 200_000
 #: Anchors in a bucket, about.
 BUCKET = 1_000_000
 
-PACKED = "kind int, bucket long, docs binary, starts binary, ends binary, at binary, fps binary, ctxs binary"
+PACKED = "kind int, bucket long, docs binary, starts binary, ends binary, at binary, fps binary"
 
 
 def anchors(chunk: Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchors of a chunk: positions, first and last start of the strings they stand for, hashes of piece and context."""
+    """Anchors of a chunk: positions, first and last start of the strings they stand for, hashes of their pieces."""
     data, bounds = chunk.data, chunk.bounds
     n, wide = len(data), length - gram + 1
     nothing = np.zeros(0, np.int64)
     if n < length:
-        return nothing, nothing, nothing, nothing.astype(np.uint64), nothing.astype(np.uint64)
+        return nothing, nothing, nothing, nothing.astype(np.uint64)
     hashes = Hashes(data)
     pieces = hashes.of(np.arange(n - gram + 1), np.arange(gram, n + 1))
     bits = np.uint64(max(24, int(n).bit_length()))
@@ -63,12 +63,11 @@ def anchors(chunk: Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     ends = np.repeat(bounds[1:], np.diff(bounds))
     starts = np.flatnonzero(ends - np.arange(n) >= length)
     if not len(starts):
-        return nothing, nothing, nothing, nothing.astype(np.uint64), nothing.astype(np.uint64)
+        return nothing, nothing, nothing, nothing.astype(np.uint64)
     at = (np.minimum(behind[starts], ahead[starts + wide - 1]) & low).astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
     at, lo, hi = at[edge[:-1]], starts[edge[:-1]], starts[edge[1:] - 1]
-    context = mixed(hashes.of(lo, hi + length) + ((at - lo) * 4096 + hi - lo).astype(np.uint64))
-    return at, lo, hi, pieces[at], context
+    return at, lo, hi, pieces[at]
 
 
 def united(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +105,8 @@ def _packs(kind: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.
     bucket = bucket[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
     spans = list(zip(edges, edges[1:], strict=False))
-    names = ["docs", "starts", "ends", "at", "fps", "ctxs"]
-    kinds = {"docs": "<i8", "fps": "<u8", "ctxs": "<u8"}
+    names = ["docs", "starts", "ends", "at", "fps"]
+    kinds = {"docs": "<i8", "fps": "<u8"}
     held = {c: columns[c][order].astype(kinds.get(c, "<i4" if not len(columns[c]) or columns[c].max() < 2**31 else "<i8")) for c in names if c in columns}
     cut = [pa.array([held[c][a:b].tobytes() if c in held else None for a, b in spans], pa.binary()) for c in names]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(spans), kind, np.int32)), pa.array(bucket[edges[:-1]].astype(np.int64)), *cut], ["kind", "bucket", *names])
@@ -116,7 +115,7 @@ def _packs(kind: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.
 def _unpack(rows: pd.DataFrame, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     out = {}
     for c in names:
-        kind = {"docs": "<i8", "fps": "<u8", "ctxs": "<u8"}.get(c)
+        kind = {"docs": "<i8", "fps": "<u8"}.get(c)
         parts = [np.frombuffer(x, kind or ("<i4" if len(x) * 2 == len(d) else "<i8")) for x, d in zip(rows[c], rows["docs"], strict=True)]
         out[c] = np.concatenate(parts) if parts else np.zeros(0, kind or "<i8")
         if kind is None:
@@ -125,65 +124,47 @@ def _unpack(rows: pd.DataFrame, names: tuple[str, ...]) -> dict[str, np.ndarray]
 
 
 def find_anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Packs of kind 0 (anchors by the hash of their piece) and of kind 1 (ranges removed inside the task)."""
+    """Packs of kind 0: anchors by the hash of their piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
-        def packed():
+        def packed() -> pa.RecordBatch:
             nonlocal held, size
-            doc, at, lo, hi, fp, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, at, lo, hi, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             held, size = [], 0
-            order = np.lexsort((at, doc, ctx, fp))
-            doc, at, lo, hi, fp, ctx = doc[order], at[order], lo[order], hi[order], fp[order], ctx[order]
-            first = _first_of(fp, ctx)
-            here = np.arange(len(doc))
-            later = (first != here) & ((doc != doc[first]) | (at != at[first]))
-            gone = united(doc[later], lo[later], hi[later] + length)
-            if len(gone[0]):
-                yield _packs(1, mixed(gone[0].view(np.uint64)) % np.uint64(buckets), dict(zip(("docs", "starts", "ends"), gone, strict=True)))
-            stay = np.flatnonzero(first == here)
-            stay = stay[np.lexsort((at[stay], doc[stay]))]
-            yield _packs(0, (mixed(fp[stay]) % np.uint64(buckets)), {"docs": doc[stay], "starts": lo[stay], "ends": hi[stay], "at": at[stay], "fps": fp[stay], "ctxs": ctx[stay]})
+            return _packs(0, mixed(fp) % np.uint64(buckets), {"docs": doc, "starts": lo, "ends": hi, "at": at, "fps": fp})
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column("text")):
-                at, lo, hi, fp, ctx = anchors(chunk, length, gram)
+                at, lo, hi, fp = anchors(chunk, length, gram)
                 row = np.searchsorted(chunk.bounds, at, "right") - 1
                 begin = chunk.bounds[row]
-                held.append((ids[chunk.first + row].astype(np.int64), at - begin, lo - begin, hi - begin, fp, ctx))
+                held.append((ids[chunk.first + row].astype(np.int64), at - begin, lo - begin, hi - begin, fp))
                 size += len(at)
                 if size > HELD:
-                    yield from packed()
+                    yield packed()
         if held:
-            yield from packed()
+            yield packed()
 
     return docs.mapInArrow(run, PACKED)
 
 
-def compare_anchors(packs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Packs by document: of kind 1, ranges whose context occurs earlier; of kind 2, anchors to look at closely."""
+def compare_anchors(packs: DataFrame, buckets: int) -> DataFrame:
+    """Packs of kind 2, by document: the anchors whose piece occurs in another place too."""
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        out = [rows[rows["kind"] == 1]]
-        x = _unpack(rows[rows["kind"] == 0], ("docs", "starts", "ends", "at", "fps", "ctxs"))
-        if len(x["docs"]):
-            order = np.lexsort((x["at"], x["docs"], x["ctxs"], x["fps"]))
-            x = {c: v[order] for c, v in x.items()}
-            first = _first_of(x["fps"], x["ctxs"])
-            here = np.arange(len(first))
-            later = (first != here) & ((x["docs"] != x["docs"][first]) | (x["at"] != x["at"][first]))
-            gone = united(x["docs"][later], x["starts"][later], x["ends"][later] + length)
-            out.append(_packs(1, mixed(gone[0].view(np.uint64)) % np.uint64(buckets), dict(zip(("docs", "starts", "ends"), gone, strict=True))).to_pandas())
-            stay = np.flatnonzero(first == here)
-            fp = x["fps"][stay]
-            group = _first_of(fp)
-            many = np.bincount(group, minlength=len(fp))[group] > 1
-            stay = stay[many]
-            out.append(_packs(2, mixed(x["docs"][stay].view(np.uint64)) % np.uint64(buckets), {c: x[c][stay] for c in ("docs", "starts", "ends", "at", "fps")}).to_pandas())
-        return pd.concat(out, ignore_index=True)[["kind", "bucket", "docs", "starts", "ends", "at", "fps", "ctxs"]]
+        x = _unpack(rows, ("docs", "starts", "ends", "at", "fps"))
+        order = np.lexsort((x["at"], x["docs"], x["fps"]))
+        x = {c: v[order] for c, v in x.items()}
+        # rows that repeat a doc_id have the same anchors twice
+        new = np.ones(len(order), bool)
+        new[1:] = (x["fps"][1:] != x["fps"][:-1]) | (x["docs"][1:] != x["docs"][:-1]) | (x["at"][1:] != x["at"][:-1])
+        group = _first_of(x["fps"])
+        many = np.bincount(group, weights=new, minlength=len(group))[group] > 1
+        return _packs(2, mixed(x["docs"][many].view(np.uint64)) % np.uint64(buckets), {c: v[many] for c, v in x.items()}).to_pandas()
 
     return packs.groupBy("bucket").applyInPandas(run, PACKED)
 
@@ -371,13 +352,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     known = docs.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 30 // BUCKET)
-    packs = settle(compare_anchors(find_anchors(known, buckets, length, gram), buckets, length), "anchors")
-    marked = settle(by_document(packs), "marked")
-    close = known.join(marked.where(F.octet_length("close") > 0).select(F.col("doc_id").alias("_id"), "close"), F.col("doc_id") == F.col("_id")).drop("_id")
-    later = merge_runs(sorted_runs(close, buckets, length), buckets, length)
-    first = packs.where("kind = 1")
-    spans = settle(by_document(first.unionByName(settle(later, "later"))).select(F.col("doc_id").alias("_id"), "gone"), "spans")
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    packs = settle(compare_anchors(find_anchors(known, buckets, length, gram), buckets), "anchors")
+    marked = settle(by_document(packs).select(F.col("doc_id").alias("_id"), "close"), "marked")
+    # what is joined to the texts grows as they do, so these joins shuffle at every size
+    close = known.join(marked.hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id")
+    later = settle(merge_runs(sorted_runs(close, buckets, length), buckets, length), "later")
+    drop(packs, marked)
+    spans = settle(by_document(later).select(F.col("doc_id").alias("_id"), "gone"), "spans")
+    drop(later)
+    joined = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
