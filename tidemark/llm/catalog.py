@@ -85,21 +85,23 @@ def _canonical_sql(text: str) -> str:
 
 
 def op9_sql() -> str:
-    rows = [*licenses.TEXTS.items(), *((k, p.format(n)) for k, names in licenses.NAMES.items() for n in names for p in licenses.PHRASES)]
-    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in rows)
-    splits = " union ".join(f"select doc_id, unnest(regexp_split_to_array(text, {_quoted(sep)})) unit from base" for _, sep in licenses.UNITS)
+    """No filter by trigger words: every text and unit is brought to its canonical form."""
+    values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in licenses.notices())
+    runs = " union ".join(f"select doc_id, array_to_string(list_slice(parts, i, i + {n - 1}), ' ') unit from parts, range(1, {10_000}) r(i) where i <= len(parts) - {n - 1}" for n in (1, *licenses.LENGTHS))
+    smaller = " union ".join(f"select doc_id, {_canonical_sql('unit')} unit from (select doc_id, unnest(regexp_split_to_array(text, {_quoted(sep)})) unit from base)" for sep in licenses.UNITS)
     return f"""
 with known as (
     select md5({_canonical_sql("text")}) digest, min(license) license from (values {values}) v(license, text) group by 1
 ),
-base as (select doc_id, coalesce(text, '') text from documents where regexp_matches(coalesce(text, ''), {_quoted(licenses.TRIGGER)})),
-units as (select doc_id, text unit from base union {splits}),
-digests as (select distinct doc_id, md5({_canonical_sql("unit")}) digest from units where regexp_matches(unit, {_quoted(licenses.TRIGGER)})),
-whole as (select doc_id, md5({_canonical_sql("text")}) text_digest from base)
-select d.doc_id, w.text_digest, min(case when g.digest = w.text_digest then k.license end) whole_license,
-    coalesce(string_agg(distinct k.license, ',' order by k.license), '') licenses, count(k.license) n_units
-from documents d left join whole w using (doc_id) left join digests g using (doc_id) left join known k on g.digest = k.digest
-group by d.doc_id, w.text_digest
+base as (select doc_id, coalesce(text, '') text from documents),
+parts as (select doc_id, regexp_matches(text, {_quoted(licenses.TRIGGER)}) near, list_filter(list_transform(regexp_split_to_array(text, {_quoted(licenses.PARAGRAPH)}), lambda p: {_canonical_sql("p")}), lambda p: p <> '') parts from base),
+whole as (select doc_id, near, md5(array_to_string(parts, ' ')) text_digest, md5(array_to_string(list_slice(parts, 2, len(parts)), ' ')) body from parts),
+units as (select doc_id, md5(array_to_string(parts, ' ')) digest from parts union select doc_id, body from whole union select doc_id, md5(unit) from ({runs} union {smaller})),
+hits as (select u.doc_id, u.digest, k.license from units u join known k using (digest))
+select w.doc_id, case when w.near then w.text_digest end text_digest,
+    coalesce(min(case when h.digest = w.text_digest then h.license end), min(case when h.digest = w.body then h.license end)) whole_license,
+    coalesce(string_agg(distinct h.license, ',' order by h.license), '') licenses, count(h.license) n_units
+from whole w left join hits h using (doc_id) group by w.doc_id, w.near, w.text_digest
 """
 
 

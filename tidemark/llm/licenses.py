@@ -1,17 +1,22 @@
 """License scans by canonical digests, in SQL functions alone.
 
-A text and its known licences are brought to one form (case, punctuation, copyright lines, equivalent spellings) and
-compared by digest. Looked up are the whole text and its paragraphs, lines and sentences, so that a notice inside a longer
-document is found too. Texts without any word that all known licences share in part are never canonicalised.
+A text and its known licences are brought to one form (case, punctuation, white space, copyright lines, equivalent spellings)
+and compared by digest. Looked up are the whole text, the whole text without its first paragraph (a title), each run of
+paragraphs that is as long as a known text, and each line and sentence, so that a licence inside a longer document is found
+too. Texts and units without any of the words TRIGGER are not canonicalised: every known licence has one of them in its canonical
+form, and a word of letters is in the canonical form only if it is in the text.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import let
+
 #: Short licences in full.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -30,6 +35,50 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+TEXTS |= {
+    "BSD-3-Clause": TEXTS["BSD-2-Clause"].replace(
+        "THIS SOFTWARE IS PROVIDED",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED",
+    ),
+    "0BSD": TEXTS["ISC"].replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    **{
+        f"{short}-{version}.0": f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+        for short, name, version in (("GPL", "General Public License", 2), ("GPL", "General Public License", 3), ("LGPL", "Lesser General Public License", 3), ("AGPL", "Affero General Public License", 3))
+    },
+}
 #: Names that notices give to licences.
 NAMES = {
     "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "the Apache 2.0 license"),
@@ -49,14 +98,17 @@ NAMES = {
 }
 PHRASES = ("Licensed under {}", "Released under {}", "This work is licensed under {}", "This work is released under {}", "This software is licensed under {}", "This software is released under {}", "This project is licensed under {}", "Distributed under {}", "SPDX-License-Identifier: {}")
 #: Spellings that count as one, tried in this order on lower-case text.
-SPELLINGS = (("licenc", "licens"), ("sub-licens", "sublicens"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("http://", "https://"), ("&", " and "), (" v2", " version 2"), (" v3", " version 3"))
+SPELLINGS = (("licenc", "licens"), ("sub-licens", "sublicens"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("http://", "https://"), ("&", " and "), (" v. 2", " version 2"), (" v2", " version 2"), (" v3", " version 3"))
 #: Lines that tell who holds the copyright, and when.
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)|©|all rights reserved)[^\n]*$"
-#: Every known licence has one of these in its raw text, in either case.
-TRIGGER = r"(?i)licen[cs]|released under|distributed under|permission|redistribution"
+#: Every known licence has one of these in its canonical form, and so in its text.
+TRIGGER = r"(?i)licen[cs]|released|distributed|permission|redistribution"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
-#: Units that are looked up besides the whole text: the separators that they are split at.
-UNITS = (("paragraph", r"\n[ \t]*\n"), ("line", r"\n"), ("sentence", r"[.!?][ \t\n]+"))
+PARAGRAPH = r"\n[ \t]*\n\s*"
+#: Smaller units that are looked up: the separators that a text is split at.
+UNITS = (r"\n", r"[.!?][ \t\n]+")
+#: Paragraphs (of more than copyright lines) in the known texts.
+LENGTHS = sorted({len(re.split(PARAGRAPH, text)) for text in TEXTS.values()} - {1})
 
 
 def canonical(text: Column) -> Column:
@@ -65,30 +117,51 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, F.lit(PUNCTUATION), F.lit(" ")))
 
 
+def notices() -> list[tuple[str, str]]:
+    """(license, text) of all known texts and notices."""
+    return [*TEXTS.items(), *((k, p.format(n)) for k, names in NAMES.items() for n in names for p in PHRASES)]
+
+
 def known(spark: SparkSession) -> DataFrame:
     """license, digest of all known texts and notices; their number is fixed by the tables above."""
-    rows = [*TEXTS.items(), *((k, p.format(n)) for k, names in NAMES.items() for n in names for p in PHRASES)]
-    return spark.createDataFrame(rows, "license string, text string").select("license", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    return spark.createDataFrame(notices(), "license string, text string").select("license", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def _runs(parts: Column) -> Column:
+    """The paragraphs (canonical, none empty) one by one, and runs of them as long as a known text."""
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, n), " "))
+
+    return F.concat(parts, *[of(n) for n in LENGTHS])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_digest, whole_license, licenses, n_units for each row of (doc_id, text).
 
     text_digest: md5 of the whole canonical text where a licence is in reach (the trigger words), else null. whole_license:
-    the licence that the whole text is. licenses: all that the text or a paragraph, line or sentence of it is, sorted and
-    joined by commas; empty if none. n_units: how many distinct units are licences. Null and empty texts have none; rows
-    that repeat a doc_id with different texts are scanned each.
+    the licence that the whole text is, or all but its first paragraph. licenses: all that the text, a run of its paragraphs, a
+    line or a sentence of it is, sorted and joined by commas; empty if none. n_units: how many distinct units are licences.
+    Null and empty texts have none; rows that repeat a doc_id are scanned each. An empty table gives an empty one.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    near = F.col("text").rlike(TRIGGER)
-    units = F.array_distinct(F.concat(F.array("text"), *[F.split("text", sep) for _, sep in UNITS]))
+
+    def found(parts: Column) -> Column:
+        smaller = [F.transform(F.filter(F.split("text", sep), lambda u: u.rlike(TRIGGER)), lambda u: F.md5(canonical(u))) for sep in UNITS]
+        body = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " ")
+        whole = F.md5(F.array_join(parts, " "))
+        units = F.array_distinct(F.concat(F.array(whole, F.md5(body)), F.transform(_runs(parts), lambda u: F.md5(u)), *smaller))
+        return F.struct(whole.alias("whole"), F.md5(body).alias("body"), units.alias("digests"))
+
     # digests in the row, so nothing but the few hits is shuffled or joined
-    digests = F.transform(F.filter(units, lambda u: u.rlike(TRIGGER)), lambda u: F.md5(canonical(u)))
-    held = base.select("doc_id", F.when(near, F.md5(canonical(F.col("text")))).alias("text_digest"), F.when(near, F.array_distinct(digests)).otherwise(F.array().cast("array<string>")).alias("digests"))
-    joined = held.withColumn("_row", F.monotonically_increasing_id())
-    hits = joined.select("doc_id", "text_digest", "_row", F.explode_outer("digests").alias("digest")).join(F.broadcast(known(docs.sparkSession)), "digest", "left")
+    parts = F.filter(F.transform(F.split("text", PARAGRAPH), canonical), lambda u: u != "")
+    held = base.select("doc_id", F.when(F.col("text").rlike(TRIGGER), let(parts, found)).alias("f"), F.monotonically_increasing_id().alias("_row"))
+    hits = held.select("doc_id", "_row", F.col("f.whole").alias("text_digest"), F.col("f.body").alias("body"), F.explode_outer("f.digests").alias("digest"))
+    hits = hits.join(F.broadcast(known(docs.sparkSession)), "digest", "left")
+    whole = [F.min(F.when(F.col("digest") == F.col(c), F.col("license"))) for c in ("text_digest", "body")]
     return hits.groupBy("_row", "doc_id", "text_digest").agg(
-        F.min(F.when(F.col("digest") == F.col("text_digest"), F.col("license"))).alias("whole_license"),
+        F.coalesce(*whole).alias("whole_license"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
         F.count("license").alias("n_units"),
     ).drop("_row")
