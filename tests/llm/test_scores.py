@@ -22,17 +22,21 @@ def test_pairs_identity():
     assert model.scores(ids, np.array([0, 4]))[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
-def test_learns_an_interaction():
-    """Neither word tells the class, both together do."""
+@pytest.mark.parametrize("tells", [lambda a, b: a & b, lambda a, b: a != b])
+def test_learns_an_interaction(tells):
+    """Both words together tell the class; with the second rule each of them alone tells nothing at all."""
     rng = np.random.default_rng(1)
-    a, b = rng.random(4000) < 0.4, rng.random(4000) < 0.4
-    y = (a & b).astype(int)
-    rows = [[0] + [1] * int(i) + [2] * int(j) + [3 + k] for i, j, k in zip(a, b, rng.integers(0, 20, 4000), strict=True)]
-    ids = np.concatenate(rows)
-    size = np.array([len(r) for r in rows])
-    model = fm.fit(ids, np.cumsum(size) - size, y, buckets=64)
-    p = model.scores(ids, np.cumsum(size) - size)
-    assert ((p >= 0.5) == (y == 1)).mean() > 0.99
+
+    def sample(n):
+        a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+        rows = [np.unique([0] + [1] * int(i) + [2] * int(j) + list(3 + k)) for i, j, k in zip(a, b, rng.integers(0, 900, (n, 12)), strict=True)]
+        size = np.array([len(r) for r in rows])
+        return np.concatenate(rows), np.cumsum(size) - size, tells(a, b).astype(int)
+
+    ids, starts, y = sample(4000)
+    model = fm.fit(ids, starts, y, buckets=1024)
+    ids, starts, y = sample(2000)
+    assert ((model.scores(ids, starts) >= 0.5) == (y == 1)).mean() > 0.97
 
 
 def test_no_labels_and_odd_rows(spark):
@@ -52,8 +56,9 @@ def test_no_labels_and_odd_rows(spark):
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    for run, label, least in ((quality.quality, "quality", 0.93), (toxicity.toxicity, "toxic", 0.93)):
+    for run, label in ((quality.quality, "quality"), (toxicity.toxicity, "toxic")):
         got = {r.doc_id: r for r in run(docs, labels).collect()}
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
-        truth = [(got[r.doc_id].predicted, r[label]) for r in labels.collect() if got[r.doc_id].held_out]
-        assert np.mean([p == y for p, y in truth]) >= least - 0.05
+        truth = [(got[r.doc_id].score, r[label]) for r in labels.collect() if got[r.doc_id].held_out]
+        yes, no = [s for s, y in truth if y == 1], [s for s, y in truth if y == 0]
+        assert np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no]) >= 0.9  # 0.5 for any constant

@@ -2,8 +2,8 @@
 
 score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j). The pairs cost linear time by the sum-of-squares
 identity: half of |sum_i v_i x_i|^2 - sum_i |v_i x_i|^2. A document's features are buckets that it does or doesn't have;
-x_i says how surely the bucket tells the classes apart in the sample (its log-odds over their standard error), so that the
-many words that tell nothing stay near 0.
+x_i says how surely the bucket tells the classes apart in the sample (its log-odds over their standard error), by itself or
+together with another frequent one, so that the many words that tell nothing stay near 0 and those that tell only in pairs don't.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -26,6 +26,9 @@ RANK = 8
 EPOCHS = 8
 STEPS = 400
 FOLDS = 5
+#: Most frequent buckets whose pairs are looked at, and standard errors that the best of so many pairs has by chance.
+PAIRED = 512
+SURE = 4.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,6 +75,38 @@ def certainty(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets:
     return x.astype(np.float32)
 
 
+def paired(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets: int, most: int = PAIRED) -> np.ndarray:
+    """By bucket, from 0 to 1: how surely its best partner among the most frequent buckets turns what it tells (the contrast of the four log-odds, in standard errors)."""
+    n = len(starts)
+    rows = np.repeat(np.arange(n), np.diff(np.append(starts, len(ids))))
+    often = np.bincount(ids, minlength=buckets)
+    often[often > 0.98 * n] = 0  # a bucket that all have tells nothing
+    top = np.argsort(-often, kind="stable")[:most]
+    top = np.sort(top[often[top] >= 8])
+    out = np.zeros(buckets, np.float32)
+    if len(top) < 2:
+        return out
+    place = np.full(buckets, -1)
+    place[top] = np.arange(len(top))
+    own = place[ids] >= 0
+    held = np.zeros((n, len(top)), np.float32)
+    held[rows[own], place[ids[own]]] = 1
+    contrast, variance = 0.0, 0.0
+    for sign, label in ((1, 1), (-1, 0)):
+        x = held[labels == label]
+        both = (x.T @ x).astype(np.float64)
+        one = x.sum(0, dtype=np.float64)
+        cells = [(1, both), (-1, one[:, None] - both), (-1, one[None, :] - both), (1, len(x) - one[:, None] - one[None, :] + both)]
+        for turn, count in cells:
+            contrast = contrast + sign * turn * np.log(count + 0.5)
+            variance = variance + 1 / (count + 0.5)
+    z = np.abs(contrast) / np.sqrt(variance)
+    np.fill_diagonal(z, 0)
+    z = np.maximum(z.max(1) - SURE, 0)
+    out[top] = z * z / (z * z + 9)
+    return out
+
+
 def fit(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets: int = BUCKETS, rank: int = RANK, epochs: int = EPOCHS, steps: int = STEPS, rate: float = 0.1, penalty: float = 1e-5, seed: int = 3, batch: int = 256) -> Model:
     """AdaGrad on the logistic loss, where each class weighs by the root of its rarity. Without rows, the model gives 0.5 to all; with one class, near its label."""
     rng = np.random.default_rng(seed)
@@ -81,7 +116,7 @@ def fit(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets: int =
         return model
     labels = labels.astype(np.float64)
     weigh = np.sqrt(0.5 * (len(labels) + 2) / np.where(labels > 0, labels.sum() + 1, len(labels) - labels.sum() + 1))
-    model.scale = certainty(ids, starts, labels, buckets)
+    model.scale = np.maximum(certainty(ids, starts, labels, buckets), paired(ids, starts, labels, buckets))
     share = ((weigh * labels).sum() + 1) / (weigh.sum() + 2)
     model.bias = float(np.log(share / (1 - share)))
     used = model.scale[ids] > 0.05
@@ -92,7 +127,7 @@ def fit(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets: int =
     model.scale[model.scale <= 0.05] = 0
     ends = np.append(starts[1:], len(ids))
     seen_w, seen_v = np.full(buckets, 1e-3, np.float32), np.full((buckets, rank), 1e-3, np.float32)
-    for _ in range(max(epochs, -(-steps * batch // len(starts)))):
+    for _ in range(max(epochs, -(-steps // -(-len(starts) // batch)))):
         order = rng.permutation(len(starts))
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
@@ -124,12 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, most_rows: int
     """Fit on labels (doc_id, label 0 or 1) of documents outside the held-out fold.
 
     At most most_rows labelled rows are used: those whose hash is smallest. Null labels and ids are left out; of several
-    labels of a document the largest counts. Only these rows' buckets come to the driver.
+    labels of a document the largest counts, of several rows of a document the one with the smallest hash of its text. Only these
+    rows' buckets come to the driver, so many a row as there are buckets at most.
     """
     known = labels.where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     known = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most_rows).select(F.col("doc_id").alias("_id"), "label")
-    rows = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).drop("_id")  # most_rows rows of 12 bytes
+    rows = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"])  # most_rows rows of 12 bytes
+    own = Window.partitionBy("_id").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
+    rows = rows.withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_id", "_k")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
