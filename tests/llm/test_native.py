@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,9 +36,12 @@ def test_line_dedup_keeps_the_first_of_similar_lines(spark):
 
 def test_licenses(spark):
     mit = "Copyright (c) 2001 Someone\n\n" + licenses.TEXTS["MIT"].lower().replace(",", " ,")
-    docs = [(1, mit), (2, "Words.\nReleased under the MIT Licence.\nMore."), (3, "Licensed under CC BY-NC 4.0. Then more words."), (4, None), (5, "no licence here"), (6, "Licensed under the Apache License, Version 2.0.")]
+    titled = "MIT License\n\nCopyright (c) 2020 A\n\n" + licenses.TEXTS["MIT"]
+    inside = "A header.\n\n" + licenses.TEXTS["BSD-3-Clause"].replace(" ", "  ") + "\n\nMore text.\n\n" + licenses.TEXTS["MPL-2.0"]
+    spaced = [(10, titled, "MIT", "MIT"), (11, inside, None, "BSD-3-Clause,MPL-2.0"), (12, "Released  under CC0 1.0.", "CC0-1.0", "CC0-1.0"), (13, "Released\nunder CC0 1.0.", "CC0-1.0", "CC0-1.0"), (14, "Distributed\tunder MPL-2.0", "MPL-2.0", "MPL-2.0"), (15, "\n\n \n", None, "")]
+    docs = [*((i, t) for i, t, _, _ in spaced), (1, mit), (2, "Words.\nReleased under the MIT Licence.\nMore."), (3, "Licensed under CC BY-NC 4.0. Then more words."), (4, None), (5, "no licence here"), (6, "Licensed under the Apache License, Version 2.0.")]
     got = {r.doc_id: (r.whole_license, r.licenses) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", "MIT"), 2: (None, "MIT"), 3: (None, "CC-BY-NC-4.0"), 4: (None, ""), 5: (None, ""), 6: ("Apache-2.0", "Apache-2.0")}
+    assert got == {**{i: (w, x) for i, _, w, x in spaced}, 1: ("MIT", "MIT"), 2: (None, "MIT"), 3: (None, "CC-BY-NC-4.0"), 4: (None, ""), 5: (None, ""), 6: ("Apache-2.0", "Apache-2.0")}
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -103,6 +107,30 @@ def test_rules(spark):
     assert rules.apply_rules(spark.createDataFrame([], "doc_id long, lang string, source string, text string")).count() == 0
 
 
+def test_determinants_against_concentration_in_numpy(spark):
+    """No start of exact concentration steps over rows ends with a much smaller determinant, and centres agree."""
+    rng = np.random.default_rng(4)
+    clean = rng.multivariate_normal([2, 1.5, 0.4, 0.5, 0.6], np.diag([0.2, 0.05, 0.05, 0.04, 0.03]) + 0.01, 700)
+    far = rng.normal([4, 3, 2, 2, 2], 0.05, (150, 5))
+    x = np.concatenate([clean, far])
+    rows = spark.createDataFrame([(0, "", "", *map(float, r)) for r in x], ["level", "g_lang", "g_source", *rules.AXES])
+    got = rules._estimate(rows, rules.CORE, rules.STEPS).first()
+    floor, h = np.diag(np.square(rules.FLOOR)), int(np.ceil(rules.CORE * len(x)))
+    best = (np.inf, None)
+    for _ in range(40):
+        core = x[rng.choice(len(x), 30, replace=False)]
+        for _ in range(60):
+            m, c = core.mean(0), np.cov(core.T, bias=True) + floor
+            core = x[np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), kind="stable")[:h]]
+        best = min(best, (np.linalg.slogdet(np.cov(core.T, bias=True) + floor)[1], core.mean(0)), key=lambda p: p[0])
+    low = np.array([[got[f"l{i}_{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
+    mine = np.linalg.slogdet((low @ low.T - floor) / rules.consistency(rules.CORE) + floor)[1]
+    assert mine <= best[0] + 0.1 and np.allclose([got[f"m{i}"] for i in range(5)], best[1], atol=0.03)
+    sample = rng.normal(size=(400_000, 5))
+    core = sample[np.argsort((sample**2).sum(1))[:300_000]]
+    assert rules.consistency(0.75) == pytest.approx(1 / core.var(0).mean(), rel=0.01) and rules.consistency(1) == 1
+
+
 def test_rules_with_more_groups_than_are_broadcast(spark, monkeypatch):
     rng = random.Random(11)
     rows = [(i, rng.choice(["en", "de"]), rng.choice(["s", "t", None]), " ".join(word(rng) for _ in range(rng.randint(40, 90)))) for i in range(900)]

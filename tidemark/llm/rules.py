@@ -1,13 +1,17 @@
 """Quality rules: whole-text statistics, fixed limits, and robust multivariate outliers, in SQL functions alone.
 
 The statistics of a text become a short vector of transformed rates. For each language and source the minimum covariance
-determinant is sought by concentration steps: from medians and spreads, keep the share of rows nearest to the centre, take
-their mean and covariance, measure again. Documents far from the centre by Mahalanobis distance are rejected. Every step is
-one aggregation to a small table and one join back, for all groups at once, over a table of a few numbers per document.
+determinant is sought by concentration steps: keep the share of rows nearest to the centre, take their mean and covariance,
+measure again, until no determinant falls any more. Three starts take them at once: medians and spreads, all rows, and the rows
+near the medians on every axis. Of a group's starts the least determinant counts. Its covariance is raised to what the whole of
+normal rows would have. Documents far from the centre by Mahalanobis distance are rejected. Every step is one aggregation to a
+small table and one join back, for all groups and starts at once, over a table of a few numbers per document.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +26,9 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Share of a group's rows that the estimate rests on.
 CORE = 0.75
-STEPS = 4
+#: Concentration steps at most, and the relative fall of a determinant that counts as none.
+STEPS = 12
+STILL = 1e-4
 #: Squared distance beyond which a document goes: the 0.9999 quantile of chi squared with five degrees of freedom.
 FARTHEST = 25.74
 #: Groups with fewer rows take the estimate of their language, and languages with fewer that of all documents.
@@ -99,11 +105,21 @@ def vector() -> dict[str, Column]:
     }
 
 
-def _factor(moments: DataFrame, group: list[str]) -> DataFrame:
+def consistency(core: float) -> float:
+    """By what the covariance of the nearest share of normal rows in five dimensions falls short of that of all: core / F7(x), with x the core quantile of chi squared with five degrees of freedom and F7 the distribution with seven."""
+    tail = lambda x: math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    five = lambda x: math.erf(math.sqrt(x / 2)) - tail(x) * (1 + x / 3)
+    low, high = 0.0, 100.0
+    for _ in range(80):
+        low, high = ((low + high) / 2, high) if five((low + high) / 2) < core else (low, (low + high) / 2)
+    return core / (five(low) - tail(low) * low * low / 15) if core < 1 else 1.0
+
+
+def _factor(moments: DataFrame, group: list[str], factor: float = 1.0) -> DataFrame:
     """group, centre and the inverse of the covariance's lower Cholesky factor, from sums over the core rows."""
     d = range(len(AXES))
     n = F.col("n")
-    out = moments.select(*group, *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in d], *[(F.col(f"s{i}_{j}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n + (FLOOR[i] ** 2 if i == j else 0)).alias(f"c{i}_{j}") for i in d for j in d if j <= i])
+    out = moments.select(*group, *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in d], *[(F.lit(factor) * (F.col(f"s{i}_{j}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n) + (FLOOR[i] ** 2 if i == j else 0)).alias(f"c{i}_{j}") for i in d for j in d if j <= i])
     for j in d:  # column by column; each step names what the ones before have made
         out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(F.col(f"c{j}_{j}") - sum((F.col(f"l{j}_{k}") ** 2 for k in range(j)), F.lit(0.0)), F.lit(1e-9))))
         out = out.withColumns({f"l{i}_{j}": (F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}_{j}") for i in d if i > j} or {"_": F.lit(0)})
@@ -126,33 +142,63 @@ def _levels(rows: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, factor: DataFrame) -> DataFrame:
-    """rows with the factor of their group, whose rows are counted: few are broadcast, more are joined by salted keys."""
+    """rows with each factor of their group, whose rows are counted: few are broadcast, more are joined by salted keys."""
     if factor.count() <= MOST_GROUPS:
         return rows.join(F.broadcast(factor), GROUP)
     salted = factor.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(salted, [*GROUP, "salt"]).drop("salt")
 
 
+def _moments() -> dict[str, Column]:
+    d = range(len(AXES))
+    return {f"s{i}": F.col(AXES[i]) for i in d} | {f"s{i}_{j}": F.col(AXES[i]) * F.col(AXES[j]) for i in d for j in d if j <= i}
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """GROUP, start and a first factor for each group with enough rows and each of three starts."""
+    d = range(len(AXES))
+    middle = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.percentile_approx(a, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, a in enumerate(AXES)]).where(F.col("n") >= FEWEST_ROWS)
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in d]
+    medians = middle.select(*GROUP, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in d], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in d for j in d if j <= i])
+    medians = settle(medians, "medians")
+    boxed = F.greatest(*[F.abs(F.col(a) - F.col(f"m{i}")) / F.col(f"l{i}_{i}") for i, a in enumerate(AXES)]) <= 1.5
+    summed = _met(rows, medians).groupBy(*GROUP).agg(*[F.count(F.when(w, 1)).alias(f"{k}n") for k, w in (("a", F.lit(True)), ("b", boxed))], *[F.sum(F.when(w, x)).alias(f"{k}{c}") for k, w in (("a", F.lit(True)), ("b", boxed)) for c, x in _moments().items()])
+    summed = settle(summed, "summed")
+    out = medians.withColumn("start", F.lit(0))
+    for k, start in (("a", 1), ("b", 2)):
+        own = summed.select(*GROUP, *[F.col(f"{k}{c}").alias(c) for c in ["n", *_moments()]]).where("n > 0")
+        out = out.unionByName(_factor(own, GROUP).withColumn("start", F.lit(start)))
+    return out
+
+
 def _estimate(rows: DataFrame, core: float, steps: int) -> DataFrame:
     """The factor of each group (of GROUP) with enough rows. rows: GROUP and AXES.
 
     A concentration step is one aggregation: rows are summed by slices of their distance, and the nearest slices that
     hold the core are added up. So a group of any size is a few hundred rows before it's shuffled.
     """
-    d = range(len(AXES))
-    middle = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.percentile_approx(a, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, a in enumerate(AXES)]).where(F.col("n") >= FEWEST_ROWS)
-    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in d]
-    factor = middle.select(*GROUP, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in d], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in d for j in d if j <= i])
-    moments = {f"s{i}": F.col(AXES[i]) for i in d} | {f"s{i}_{j}": F.col(AXES[i]) * F.col(AXES[j]) for i in d for j in d if j <= i}
-    whole = Window.partitionBy(*GROUP)
+    keys = [*GROUP, "start"]
+    factor = _starts(rows)
+    whole = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("n").over(whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    logdet = sum((F.log(f"l{i}_{i}") for i in range(len(AXES))), F.lit(0.0))
+    last = None
     for _ in range(steps):
         factor = settle(factor, "factor")
         sliced = _met(rows, factor).withColumn("slice", F.floor(SLICES * F.log1p(_distance())))
-        sliced = sliced.groupBy(*GROUP, "slice").agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in moments.items()])
+        sliced = sliced.groupBy(*keys, "slice").agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in _moments().items()])
         inner = sliced.withColumns({"_before": before, "_all": F.sum("n").over(whole)}).where(F.col("_before") < core * F.col("_all"))
-        factor = _factor(inner.groupBy(*GROUP).agg(*[F.sum(k).alias(k) for k in ["n", *moments]]), GROUP)
-    return settle(factor, "factor")
+        sums = settle(inner.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in ["n", *_moments()]]), "sums")
+        factor = _factor(sums, keys)
+        total = factor.agg(F.sum(logdet)).first()[0]
+        if total is None or last is not None and abs(total - last) <= STILL:
+            break
+        last = total
+    else:
+        if not steps:
+            return factor.where("start = 0").drop("start")
+    best = factor.groupBy(*GROUP).agg(F.min(F.struct(logdet.alias("d"), "start"))["start"].alias("start"))
+    return settle(_factor(sums.join(best, keys), GROUP, consistency(core)), "factor")
 
 
 def apply_rules(docs: DataFrame, core: float = CORE, steps: int = STEPS, farthest: float = FARTHEST) -> DataFrame:
