@@ -91,4 +91,13 @@ def test_overlap_bounds():
 def test_packed_tokens():
     x = np.array([5 << 20, (1 << 63) + (7 << 30)], np.uint64)
     assert (J.unpacked(J.packed(x)) == (x >> np.uint64(16) << np.uint64(16))).all()
-    assert defaultdict(int) == {}
+
+
+def test_classes_without_any_doc_id(spark):
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    near = [*base[:39], "other"]
+    rows = [(None, " ".join(base)), (1, " ".join(near)), (None, " ".join(near)), (None, None), (2, " ".join(near)), (None, "few words")]
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(None, 36, None), (1, 36, 1), (None, 36, None), (None, 0, None), (2, 36, 1), (None, 1, None)], key=str)
+    assert list(J.PrefixTree([]).similar(np.array([1], np.uint64))) == []

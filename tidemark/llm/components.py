@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import drop, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(edges.where("a <> b").select("a", "b").distinct(), "edges")
     state = None
     while True:
-        now = settle(_small_star(_large_star(now)), "edges")
+        before, now = now, settle(_small_star(_large_star(now)), "edges")
+        drop(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             break

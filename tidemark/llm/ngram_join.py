@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import drop, settle
 from tidemark.llm.components import components
 from tidemark.llm.text_vectors import Chunk, chunks, mixed, shingles
 
@@ -249,7 +249,7 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets = [sets[i] for i in self.order]
-        self.common = [0]
+        self.common = [0] * min(1, len(sets))
         for x, y in zip(self.sets, self.sets[1:], strict=False):
             k = min(len(x), len(y))
             other = np.flatnonzero(x[:k] != y[:k])
@@ -358,19 +358,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
 
     Words are runs of characters that aren't ASCII white space, in lower case for A-Z. Null and empty texts, and texts
     without words, have the empty set: they are linked with nothing. Rows that repeat a doc_id are one document if their
-    texts have equal sets, and are linked apart otherwise. An empty table gives an empty one. Sets are compared by
+    texts have equal sets, and are linked apart otherwise. Rows without a doc_id are linked with nothing and have no
+    component_id. An empty table gives an empty one. Sets are compared by
     48 bits of the shingles' hashes; they connect all similar classes, but a family of near copies gets a spanning set of links only.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows, seen = classes(docs, words)
+    named_docs = docs.where("doc_id is not null")
     hot = seen.groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= frequent)
     hot = hot.orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     last = spark.sparkContext.broadcast(np.sort(hot.astype(np.int64)).view(np.uint64))
-    reps = settle(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "representatives")
+    reps = settle(rows.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "representatives")
     total = reps.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
-    met = settle(meet(prefixes(docs, last, buckets, words, percent), small, percent), "met")
+    met = settle(meet(prefixes(named_docs, last, buckets, words, percent), small, percent), "met")
     members = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), F.col("na").alias("n"))
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     uncounted = settle(members.groupBy("cid").agg(F.count("*").alias("g")), "uncounted")
@@ -387,7 +389,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
     starred = starred.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"))
     pairs = settle(pairs.unionByName(starred).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(members.select("cid")).distinct()
-    sets = settle(_sets_of(docs, wanted, reps, last, words), "sets")
+    sets = settle(_sets_of(named_docs, wanted, reps, last, words), "sets")
     links = settle(verified(pairs, sets, percent), "links")
     labels = components(links).select(F.col("vertex").alias("cid"), F.col("component").alias("label"))
     labelled = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -400,6 +402,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
     edges = links.join(by.withColumnsRenamed({"cid": "a", "rep": "ra"}), "a").join(by.withColumnsRenamed({"cid": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     groups = components(edges)
     named = settle(reps.join(groups, reps["rep"] == groups["vertex"], "left").select("cid", F.coalesce("component", "rep").alias("component_id")), "named")
-    full = rows.where("n > 0").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    drop(met, uncounted, pairs, sets, apart)
+    full = rows.where("n > 0").join(named, "cid", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty), links
