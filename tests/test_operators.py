@@ -168,3 +168,20 @@ def test_streams(spark, tmp_path):
     out = run(daily.decayed_stream(stream, 1.0), "decayed").orderBy("user_id", "event_date").collect()
     own = [r.decay_gmv for r in out if r.user_id == 1]
     assert own[0] == 10 and own[1] == pytest.approx(15)
+
+
+def test_final_submission_needs_the_same_users(spark):
+    table = lambda column, rows: spark.createDataFrame(rows, f"user_id long, {column} double")
+    classifier, regressor = table("probability", [(1, 0.5), (2, 1.0)]), table("positive_prediction", [(2, 3.0), (1, 0.0)])
+    residual = table("residual_prediction", [(1, -1.0), (2, 0.1)])
+    got = {r.user_id: r.predict for r in E.final_submission(classifier, regressor, residual, 0.5).collect()}
+    assert got == {1: 0.0, 2: pytest.approx(4 * np.exp(0.05) - 1)}
+    for tables in ((classifier, regressor.limit(1), residual), (classifier, regressor, residual.union(residual))):
+        with pytest.raises(ValueError):
+            E.final_submission(*tables, 0.5)
+
+
+def test_submission_points(spark):
+    grid = spark.createDataFrame([("a", 1.0, 1.0, 0.5, 0.9, 0.3, 0.575), ("b", 1.1, 1.0, 0.6, 0.7, 0.0, 0.6)], "probability string, gamma double, scale double, rmsle double, worst_snapshot_rmsle double, std_snapshot_rmsle double, stable_score double")
+    got = {r.best: (r.probability, r.gamma, r.scale) for r in E.submission_points(grid, "a").collect()}
+    assert got["global"] == ("a", 1.0, 1.0) and got["worst"] == ("b", 1.1, 1.0) and got["stable"] == ("a", 1.0, 1.0) and got["baseline"] == ("a", 1.1, 1.0) and len(got) == 8

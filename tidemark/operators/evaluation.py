@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import logit, sigmoid
+from tidemark.operators.guards import require_unique
 
 
 def rmsle(target: Column, predicted_log: Column) -> Column:
@@ -65,7 +66,7 @@ def _steps(first: float, last: float, step: float) -> list[float]:
     return [round(first + k * step, 4) for k in range(round((last - first) / step) + 1)]
 
 
-def alpha_grid(df: DataFrame, alphas: list[float] | None = None, min_gain: float = 0.001) -> DataFrame:
+def alpha_grid(df: DataFrame, alphas: list[float] | None = None) -> DataFrame:
     """alpha, fold (null: all folds), rmsle of max(base + alpha * residual, 0). Clipped, so rows meet every alpha."""
     alphas = alphas or _steps(-0.3, 0.3, 0.005)
     met = df.select("fold", "target_log", "base_hurdle_log", "residual_prediction", F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha"))
@@ -88,6 +89,13 @@ def platt_grid(df: DataFrame) -> DataFrame:
     return met.groupBy("point.a", "point.b").agg(logloss(F.col("positive"), sigmoid(F.col("point.a") * F.col("z") + F.col("point.b"))).alias("logloss"))
 
 
+def platt_calibrated(df: DataFrame, name: str = "probability_platt") -> DataFrame:
+    """df with the probability moved by the point of platt_grid that has the least log loss; ties go to the smaller point."""
+    best = platt_grid(df).orderBy("logloss", "a", "b").first()
+    a, b = (best["a"], best["b"]) if best else (1.0, 0.0)
+    return df.withColumn(name, sigmoid(F.lit(a) * logit(F.col("probability")) + F.lit(b)))
+
+
 def gamma_scale_grid(df: DataFrame, probabilities: tuple[str, ...] = ("probability",), gammas: list[float] | None = None, scales: list[float] | None = None) -> DataFrame:
     """probability, gamma, scale, rmsle, worst and std over snapshots, stable_score = rmsle + std / 4.
 
@@ -104,12 +112,53 @@ def gamma_scale_grid(df: DataFrame, probabilities: tuple[str, ...] = ("probabili
     return out.withColumn("stable_score", F.col("rmsle") + 0.25 * F.col("std_snapshot_rmsle"))
 
 
+#: Points of a grid that are scored by snapshot and chosen from.
+TOP = 120
+#: Fixed points besides the best ones: a name, gamma and scale of the plain probability.
+FIXED = (("raw_1.095_1.000", 1.095, 1.0), ("raw_1.100_1.005", 1.1, 1.005), ("raw_1.105_1.000", 1.105, 1.0), ("raw_1.100_0.995", 1.1, 0.995))
+
+
+def top_points(grid: DataFrame, top: int = TOP) -> DataFrame:
+    """The points of the least rmsle; ties go to the smaller point."""
+    return grid.orderBy("rmsle", "probability", "gamma", "scale").limit(top)
+
+
 def candidates(grid: DataFrame) -> DataFrame:
     """The grid's best points: by score, by stable score and by the worst snapshot, each with what it is best in."""
     pick = lambda kind, by: grid.orderBy(by, "probability", "gamma", "scale").limit(1).withColumn("best", F.lit(kind))
     return pick("global", "rmsle").unionByName(pick("stable", "stable_score")).unionByName(pick("worst", "worst_snapshot_rmsle"))
 
 
+def submission_points(grid: DataFrame, raw: str = "probability") -> DataFrame:
+    """best, probability, gamma, scale of the candidates among the grid's top points, of the baseline (gamma 1.1, scale 1) and of the fixed points."""
+    best = candidates(top_points(grid)).select("best", "probability", "gamma", "scale")
+    fixed = [("baseline", raw, 1.1, 1.0), *((name, raw, g, s) for name, g, s in FIXED)]
+    return best.unionByName(grid.sparkSession.createDataFrame(fixed, best.schema))
+
+
+def hurdle_submissions(df: DataFrame, points: DataFrame, probabilities: tuple[str, ...] = ("probability",)) -> DataFrame:
+    """user_id, best, predict of the hurdle at each point (a handful of rows, broadcast)."""
+    chosen = F.coalesce(*[F.when(F.col("x.probability") == n, F.col(n)) for n in probabilities])
+    few = points.select(F.struct("best", "probability", "gamma", "scale").alias("x"))
+    met = df.select("user_id", "positive_prediction", *probabilities).crossJoin(F.broadcast(few))
+    return met.select("user_id", "x.best", F.expm1(hurdle_log(chosen, F.col("positive_prediction"), F.col("x.gamma"), F.col("x.scale"))).alias("predict"))
+
+
+def final_submission(classifier: DataFrame, regressor: DataFrame, residual: DataFrame, alpha: float, gamma: float = 1.1) -> DataFrame:
+    """user_id, predict: the hurdle plus alpha times the residual prediction, not below 0.
+
+    classifier: user_id, probability; regressor: user_id, positive_prediction; residual: user_id, residual_prediction. All three
+    must have the same users, each once; else ValueError.
+    """
+    for name, table in (("classifier", classifier), ("regressor", regressor), ("residual", residual)):
+        require_unique(table, ["user_id"], name)
+    out = classifier.select("user_id", "probability").join(regressor.select("user_id", "positive_prediction"), "user_id").join(residual.select("user_id", "residual_prediction"), "user_id")
+    if out.count() != classifier.count():
+        raise ValueError("users of the classifier lack in the other tables")
+    log = hurdle_log(F.col("probability"), F.col("positive_prediction"), gamma) + F.lit(alpha) * F.col("residual_prediction")
+    return out.select("user_id", F.expm1(F.greatest(F.lit(0.0), log)).alias("predict"))
+
+
 def analog_log(last_year_log: Column, old: Column, new: Column, alpha: Column | float, clip: Column | float, k: Column | float) -> Column:
     """Last year's value moved by clipped growth, as far as the growth is supported; not below 0."""
     a, c, s = (x if isinstance(x, Column) else F.lit(x) for x in (alpha, clip, k))
@@ -140,6 +189,14 @@ def analog_grid(df: DataFrame, gammas=ANALOG_GAMMAS, alphas=ANALOG_ALPHAS, clips
     return out.select("gamma", "alpha", "clip", "k", "weight", F.sqrt("bb").alias("base_rmsle"), F.sqrt("aa").alias("analog_rmsle"), F.sqrt(F.greatest(F.lit(0.0), mse)).alias("blend_rmsle"))
 
 
+def analog_submissions(df: DataFrame, best: dict[str, float], weights: tuple[float, ...] = (0.05, 0.1, 0.15, 0.2, 0.25)) -> DataFrame:
+    """user_id, weight, predict of the blend of hurdle and analog logs at one point (gamma, alpha, clip, k) and each weight."""
+    base = hurdle_log(F.col("probability"), F.col("positive_prediction"), best["gamma"])
+    analog = analog_log(F.log1p("last_year"), F.col("old"), F.col("new"), best["alpha"], best["clip"], best["k"])
+    met = df.select("user_id", base.alias("b"), analog.alias("a"), F.explode(F.array(*[F.lit(w) for w in weights])).alias("weight"))
+    return met.select("user_id", "weight", F.expm1(F.greatest(F.lit(0.0), (1 - F.col("weight")) * F.col("b") + F.col("weight") * F.col("a"))).alias("predict"))
+
+
 def two_model_grid(df: DataFrame, first: str, second: str, points: int = 101) -> DataFrame:
     """alpha, rmsle of alpha * first + (1 - alpha) * second in log space, from three moments."""
     a, b = F.log1p("target") - F.col(first), F.log1p("target") - F.col(second)
@@ -181,6 +238,19 @@ def extrapolated(at_zero: Column, at_known: Column, alpha: float, known: float =
     return at_zero + F.lit(alpha / known) * (at_known - at_zero)
 
 
+#: Alphas that are tried along the line, and small changes of the scale of logs.
+LINE_ALPHAS = (0.015, 0.025, 0.035, 0.04, 0.045, 0.055, 0.065, 0.075)
+LOG_SCALES = (0.99, 0.995, 1.0025, 1.005, 1.01)
+
+
+def line_and_scale(df: DataFrame, at_zero: str, at_known: str, known: float = 0.05) -> DataFrame:
+    """user_id and a prediction for each of LINE_ALPHAS and of LOG_SCALES, from logs at alpha 0 and at a known one; logs are kept between 0 and 20."""
+    value = lambda log: F.expm1(F.greatest(F.lit(0.0), F.least(F.lit(20.0), log)))
+    name = lambda kind, x: f"{kind}_{x:.4f}".replace(".", "_")
+    line = [value(extrapolated(F.col(at_zero), F.col(at_known), a, known)).alias(name("alpha", a)) for a in LINE_ALPHAS]
+    return df.select("user_id", *line, *[value(F.col(at_known) * F.lit(x)).alias(name("scale", x)) for x in LOG_SCALES])
+
+
 def prediction_stats(df: DataFrame, base: str, models: list[str]) -> DataFrame:
     """model, corr_log (with the base's logs), mean, median, p95 and max of each model's predictions."""
     log = lambda m: F.log1p(F.greatest(F.lit(0.0), F.col(m)))

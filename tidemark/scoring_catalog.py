@@ -125,34 +125,81 @@ p as (select a, b, positive, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(a * z
 r as (select a, b, -avg(positive * ln(p) + (1 - positive) * ln(1 - p)) logloss from p group by 1, 2)""", ["a", "b", "logloss"], "r")
 
 GRID_NAMES = ["gamma", "scale", "rmsle", "worst_snapshot_rmsle", "std_snapshot_rmsle", "stable_score"]
-GAMMA_SQL = PREDICTIONS_SQL + f""",
+PROBABILITIES = ("probability", "probability_platt")
+CALIBRATED_SQL = PREDICTIONS_SQL + f""",
+{_values("platt", "a, b", [(a, b) for a in E._steps(0.8, 1.2, 0.05) for b in E._steps(-0.15, 0.15, 0.05)])},
+zs as (select *, ln(greatest(1e-6, least(1 - 1e-6, probability)) / (1 - greatest(1e-6, least(1 - 1e-6, probability)))) z from pred),
+losses as (select a, b, -avg(positive * ln(p) + (1 - positive) * ln(1 - p)) logloss from (select a, b, positive, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(a * z + b))))) p from zs, platt) group by 1, 2),
+calibrated as (select zs.*, 1 / (1 + exp(-(a * z + b))) probability_platt from zs, (select a, b from losses order by logloss, a, b limit 1))"""
+GAMMA_SQL = CALIBRATED_SQL + f""",
 {_values("gammas", "gamma", E._steps(1.0, 1.15, 0.01))}, {_values("scales", "scale", E._steps(0.96, 1.04, 0.01))},
-se as (select gamma, scale, snapshot_name, power(ln(1 + target) - {HURDLE_SQL.format(g="gamma", s="scale")}, 2) e from pred, gammas, scales),
-own as (select gamma, scale, snapshot_name, sqrt(avg(e)) x from se group by all),
-pooled as (select gamma, scale, sqrt(avg(e)) rmsle from se group by all),
-r as (select 'probability' probability, gamma, scale, any_value(rmsle) rmsle, max(x) worst_snapshot_rmsle, coalesce(stddev_samp(x), 0) std_snapshot_rmsle, any_value(rmsle) + 0.25e0 * coalesce(stddev_samp(x), 0) stable_score from own join pooled using (gamma, scale) group by gamma, scale)"""
-GAMMA_GRID_SQL = _round_sql(GAMMA_SQL, GRID_NAMES, "r", ("probability",))
-CANDIDATES_SQL = _round_sql(GAMMA_SQL + """,
+named as (select target, snapshot_name, positive_prediction, unnest(['probability', 'probability_platt']) kind, unnest([probability, probability_platt]) probability from calibrated),
+se as (select kind, gamma, scale, snapshot_name, power(ln(1 + target) - {HURDLE_SQL.format(g="gamma", s="scale")}, 2) e from named, gammas, scales),
+own as (select kind, gamma, scale, snapshot_name, sqrt(avg(e)) x from se group by all),
+pooled as (select kind, gamma, scale, sqrt(avg(e)) rmsle from se group by all),
+r as (select kind probability, gamma, scale, any_value(rmsle) rmsle, max(x) worst_snapshot_rmsle, coalesce(stddev_samp(x), 0) std_snapshot_rmsle, any_value(rmsle) + 0.25e0 * coalesce(stddev_samp(x), 0) stable_score from own join pooled using (kind, gamma, scale) group by kind, gamma, scale),
+top as (select * from r order by rmsle, probability, gamma, scale limit {E.TOP}),
 best as (
-    (select *, 'global' best from r order by rmsle, probability, gamma, scale limit 1) union all (select *, 'stable' best from r order by stable_score, probability, gamma, scale limit 1)
-    union all (select *, 'worst' best from r order by worst_snapshot_rmsle, probability, gamma, scale limit 1)
-)""", GRID_NAMES, "best", ("probability", "best"))
+    (select *, 'global' best from top order by rmsle, probability, gamma, scale limit 1) union all (select *, 'stable' best from top order by stable_score, probability, gamma, scale limit 1)
+    union all (select *, 'worst' best from top order by worst_snapshot_rmsle, probability, gamma, scale limit 1)
+)"""
+GAMMA_GRID_SQL = _round_sql(GAMMA_SQL, GRID_NAMES, "r", ("probability",))
+TOP_SQL = _round_sql(GAMMA_SQL, GRID_NAMES, "top", ("probability",))
+CANDIDATES_SQL = _round_sql(GAMMA_SQL, GRID_NAMES, "best", ("probability", "best"))
+LAST_SQL = "snapshot_name like '%12-28'"
+SUBMISSIONS_SQL = _round_sql(GAMMA_SQL + f""",
+points as (select best, probability kind, gamma, scale from best union all values ('baseline', 'probability', 1.1e0, 1e0), {", ".join(f"('{n}', 'probability', {g!r}e0, {x!r}e0)" for n, g, x in E.FIXED)}),
+chosen as (select user_id, best, gamma, scale, positive_prediction, case when kind = 'probability' then probability else probability_platt end probability from calibrated, points where {LAST_SQL}),
+s as (select user_id, best, exp({HURDLE_SQL.format(g="gamma", s="scale")}) - 1 predict from chosen)""", ["predict"], "s", ("user_id", "best"))
+
+
+def calibrated_submissions(p: DataFrame) -> DataFrame:
+    """The last snapshot's predictions at the best, baseline and fixed points of the grid."""
+    p = E.platt_calibrated(p)
+    points = E.submission_points(E.gamma_scale_grid(p, PROBABILITIES))
+    return E.hurdle_submissions(p.where(LAST_SQL), points, PROBABILITIES)
+
+
+def final_submission(p: DataFrame) -> DataFrame:
+    """The last snapshot's tables of classifier, regressor and residuals put together, at the alpha that the grid accepts."""
+    alpha = E.chosen_alpha(E.alpha_grid(E.hurdle_combine(p, 1.1)))
+    last = p.where(LAST_SQL)
+    return E.final_submission(last.select("user_id", "probability"), last.select("user_id", "positive_prediction"), last.select("user_id", "residual_prediction"), alpha)
+
 
 ANALOG_SQL = "greatest(0e0, ln(1 + last_year) + {a} * (old + new) / (old + new + {k}) * greatest(-{c}, least({c}, ln(1 + new) - ln(1 + old))))"
 ANALOG_LOG_SQL = _round_sql(PREDICTIONS_SQL + f",\nr as (select user_id, snapshot_name, {ANALOG_SQL.format(a='5e-1', k='1e2', c='1e0')} analog_log from pred)", ["analog_log"], "r", ("user_id", "snapshot_name"))
 ANALOG_NAMES = ["gamma", "alpha", "clip", "k", "weight", "base_rmsle", "analog_rmsle", "blend_rmsle"]
 ANALOG_GRID_SQL = _round_sql(PREDICTIONS_SQL + f""",
-{_values("gs", "gamma", E._steps(0.9, 1.15, 0.05))}, {_values("als", "alpha", list(E.ANALOG_ALPHAS))}, {_values("cls", "clip", list(E.ANALOG_CLIPS))}, {_values("kk", "k", list(E.ANALOG_KS))}, {_values("ws", "weight", list(E.ANALOG_WEIGHTS))},
-a as (select user_id, snapshot_name, target, probability, positive_prediction, alpha, clip, k, {ANALOG_SQL.format(a="alpha", k="k", c="clip")} x from pred, als, cls, kk),
-b as (select gamma, alpha, clip, k, ln(1 + target) - x ea, ln(1 + target) - {HURDLE_SQL.format(g="gamma", s="1e0")} eb from a, gs),
+{_values("gs", "gamma", list(E.ANALOG_GAMMAS))}, {_values("als", "alpha", list(E.ANALOG_ALPHAS))}, {_values("cls", "clip", list(E.ANALOG_CLIPS))}, {_values("kk", "k", list(E.ANALOG_KS))}, {_values("ws", "weight", list(E.ANALOG_WEIGHTS))},
+a2 as (select row_number() over () i, * from pred),
+h as (select i, gamma, ln(1 + target) - {HURDLE_SQL.format(g="gamma", s="1e0")} eb from a2, gs),
+b as (select gamma, alpha, clip, k, ln(1 + target) - {ANALOG_SQL.format(a="alpha", k="k", c="clip")} ea, eb from a2 join h using (i), als, cls, kk),
 r as (select gamma, alpha, clip, k, weight, sqrt(avg(eb * eb)) base_rmsle, sqrt(avg(ea * ea)) analog_rmsle, sqrt(avg(power((1 - weight) * eb + weight * ea, 2))) blend_rmsle from b, ws group by all)""", ANALOG_NAMES, "r")
 
+ANALOG_BEST = {"gamma": 1.1, "alpha": 0.5, "clip": 1.0, "k": 100.0}
+ANALOG_SUBMISSIONS_SQL = _round_sql(PREDICTIONS_SQL + f""",
+{_values("ws", "weight", [0.05, 0.1, 0.15, 0.2, 0.25])},
+r as (select user_id, weight, exp(greatest(0e0, (1 - weight) * {HURDLE_SQL.format(g="1.1e0", s="1e0")} + weight * {ANALOG_SQL.format(a="5e-1", k="1e2", c="1e0")})) - 1 predict from pred, ws where {LAST_SQL})""", ["weight", "predict"], "r", ("user_id",))
+FINAL_SQL = _round_sql(PREDICTIONS_SQL + f""",
+base as (select *, {HURDLE_SQL.format(g="1.1e0", s="1e0")} base_hurdle_log, ln(1 + target) target_log from pred),
+{_values("grid", "alpha", ALPHAS)},
+scores as (select alpha, sqrt(avg(power(target_log - greatest(0e0, base_hurdle_log + alpha * residual_prediction), 2))) s from base, grid group by 1),
+zero as (select s from scores where alpha = 0), won as (select alpha, s from scores order by s, alpha limit 1),
+r as (select user_id, exp(greatest(0e0, base_hurdle_log + case when zero.s - won.s >= 0.001 then won.alpha else 0e0 end * residual_prediction)) - 1 predict from base, zero, won where {LAST_SQL})""", ["predict"], "r", ("user_id",))
+LINE_NAMES = [f"alpha_{a:.4f}".replace(".", "_") for a in E.LINE_ALPHAS] + [f"scale_{x:.4f}".replace(".", "_") for x in E.LOG_SCALES]
+LINE_SQL = _round_sql(BASE_SQL + ",\nr as (select user_id, " + ", ".join([f"exp(greatest(0e0, least(2e1, ln(1 + all_prediction) + {a!r}e0 / 5e-2 * (base_hurdle_log - ln(1 + all_prediction))))) - 1 {n}" for a, n in zip(E.LINE_ALPHAS, LINE_NAMES, strict=False)] + [f"exp(greatest(0e0, least(2e1, base_hurdle_log * {x!r}e0))) - 1 {n}" for x, n in zip(E.LOG_SCALES, LINE_NAMES[len(E.LINE_ALPHAS) :], strict=True)]) + f" from base where {LAST_SQL})", LINE_NAMES, "r", ("user_id",))
+
 TWO_SQL = _round_sql(BASE_SQL + f""",
 {_values("grid", "alpha", [round(i / 100, 6) for i in range(101)])},
 r as (select alpha, sqrt(avg(power(target_log - (alpha * base_hurdle_log + (1 - alpha) * ln(1 + all_prediction)), 2))) rmsle from base, grid group by 1)""", ["alpha", "rmsle"], "r")
 
-SPECS = {"best95_all05": {"positive_prediction": 0.95, "all_prediction": 0.05}, "best90_all05_recent05": {"positive_prediction": 0.9, "all_prediction": 0.05, "recent_prediction": 0.05}}
-BLEND_SQL = _round_sql(PREDICTIONS_SQL + ",\nr as (select user_id, " + ", ".join(f"exp(greatest(0e0, least(2e1, {' + '.join(f'ln(1 + {m}) * {w!r}e0' for m, w in spec.items())}))) - 1 as {n}" for n, spec in SPECS.items()) + " from pred where snapshot_name like '%12-28')", list(SPECS), "r", ("user_id",))
+_A, _B, _C = "positive_prediction", "all_prediction", "recent_prediction"
+SPECS = {
+    "best95_all05": {_A: 0.95, _B: 0.05}, "best90_all10": {_A: 0.9, _B: 0.1}, "best95_last05": {_A: 0.95, "last_year": 0.05}, "best95_recent05": {_A: 0.95, _C: 0.05}, "best90_recent10": {_A: 0.9, _C: 0.1},
+    "best92_all04_recent04": {_A: 0.92, _B: 0.04, _C: 0.04}, "best90_last05_all05": {_A: 0.9, "last_year": 0.05, _B: 0.05},
+}
+BLEND_SQL = _round_sql(PREDICTIONS_SQL + ",\nr as (select user_id, " + ", ".join(f"round(exp(greatest(0e0, least(2e1, {' + '.join(f'ln(1 + {m}) * {w!r}e0' for m, w in spec.items())}))) - 1, 3) as {n}" for n, spec in SPECS.items()) + " from pred where snapshot_name like '%12-28')", list(SPECS), "r", ("user_id",))
 
 MODELS = ["positive_prediction", "all_prediction", "recent_prediction"]
 STATS_NAMES = ["corr_log", "mean_pred", "median_pred", "p95_pred", "max_pred"]
@@ -241,7 +288,7 @@ def gbt_hurdle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted two-stage forecasts of the last snapshot, learned from those before it."""
     keep = ["user_id", "snapshot_name", "target", *GBT_FEATURES]
     rows = predictions(spark, sf_dir).select(*keep)
-    return models.backtest(rows, GBT_FEATURES, sorted(SNAPSHOTS), first=2, trees=5, depth=3)
+    return models.backtest(rows, GBT_FEATURES, sorted(SNAPSHOTS), first=1)
 
 
 def streaming_daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,12 +339,17 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "residual_winsorised": (_pred(lambda p: E.residuals(E.hurdle_combine(p)).select(*us, *RESIDUAL_NAMES), us), RESIDUAL_SQL),
         "alpha_grid": (_pred(lambda p: E.alpha_grid(E.hurdle_combine(p)), ("fold",)), ALPHA_SQL),
         "platt_grid": (_pred(E.platt_grid), PLATT_SQL),
-        "gamma_scale_grid": (_pred(E.gamma_scale_grid, ("probability",)), GAMMA_GRID_SQL),
-        "grid_candidates": (_pred(lambda p: E.candidates(E.gamma_scale_grid(p)), ("probability", "best")), CANDIDATES_SQL),
+        "gamma_scale_grid": (_pred(lambda p: E.gamma_scale_grid(E.platt_calibrated(p), PROBABILITIES), ("probability",)), GAMMA_GRID_SQL),
+        "gamma_scale_top": (_pred(lambda p: E.top_points(E.gamma_scale_grid(E.platt_calibrated(p), PROBABILITIES)), ("probability",)), TOP_SQL),
+        "grid_candidates": (_pred(lambda p: E.candidates(E.top_points(E.gamma_scale_grid(E.platt_calibrated(p), PROBABILITIES))), ("probability", "best")), CANDIDATES_SQL),
+        "calibrated_submissions": (_pred(calibrated_submissions, ("user_id", "best")), SUBMISSIONS_SQL),
+        "final_submission": (_pred(final_submission, ("user_id",)), FINAL_SQL),
+        "analog_submissions": (_pred(lambda p: E.analog_submissions(p.where(last), ANALOG_BEST), ("user_id",)), ANALOG_SUBMISSIONS_SQL),
+        "line_and_scale": (_pred(lambda p: E.line_and_scale(E.hurdle_combine(p.where(last)).withColumn("all_log", F.log1p("all_prediction")), "all_log", "base_hurdle_log"), ("user_id",)), LINE_SQL),
         "analog_log": (_pred(lambda p: p.select(*us, E.analog_log(F.log1p("last_year"), F.col("old"), F.col("new"), 0.5, 1.0, 100.0).alias("analog_log")), us), ANALOG_LOG_SQL),
-        "analog_grid": (_pred(lambda p: E.analog_grid(p, gammas=E._steps(0.9, 1.15, 0.05))), ANALOG_GRID_SQL),
+        "analog_grid": (_pred(E.analog_grid), ANALOG_GRID_SQL),
         "two_model_grid": (_pred(lambda p: E.two_model_grid(E.hurdle_combine(p).withColumn("all_log", F.log1p("all_prediction")), "base_hurdle_log", "all_log")), TWO_SQL),
-        "log_blend": (_pred(lambda p: E.log_blend(p.where(last), SPECS), ("user_id",)), BLEND_SQL),
+        "log_blend": (_pred(lambda p: E.log_blend(p.where(last), SPECS).select("user_id", *[F.round(n, 3).alias(n) for n in SPECS]), ("user_id",)), BLEND_SQL),
         "corr_logs": (_pred(lambda p: E.prediction_stats(p, "positive_prediction", MODELS), ("model",)), STATS_SQL),
         "oof_merge": (_pred(lambda p: oof_merge(p, False), us), _round_sql(OOF_SQL, OOF_NAMES, "r", us)),
         "complete_case": (_pred(lambda p: oof_merge(p, True), us), _round_sql(OOF_SQL, OOF_NAMES, "r where cat is not null and lgbm is not null", us)),
