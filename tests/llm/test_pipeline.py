@@ -27,3 +27,22 @@ def test_stages(spark, tmp_path):
         ends[r.sequence_id] = max(ends[r.sequence_id], r.offset + r.length)
     assert max(ends.values()) <= 2048
     assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def test_stages_on_nulls_repeats_and_names_that_clash(spark):
+    """The two joins by row key, and line dedup: no name of docs is taken, rows without a doc_id and repeated ones are met."""
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, line, "a", 0, 0, 0, 62), (2, line, "a", 0, 0, 0, 62), (None, "quite another text of some words", None, 0, 0, 0, 32), (None, None, None, 0, 0, 0, None), (3, "", "b", 0, 0, 0, 0), (3, "not the same text under one id", "b", 0, 0, 0, 30), (3, "not the same text under one id", "b", 0, 0, 0, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, _copies long, _key long, n_chars int")
+    stages = dict(pipeline.STAGES)
+    for name in ("line dedup", "n-gram Jaccard join", "mixing sources"):
+        got = stages[name](spark, docs, "")
+        assert got.columns == docs.columns
+        texts = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+        if name == "line dedup":
+            assert texts == [(0, ""), (0, rows[2][1]), (1, line), (2, ""), (3, ""), (3, rows[5][1]), (3, rows[5][1])]
+        elif name == "n-gram Jaccard join":
+            assert len(texts) == 5 and [t for _, t in texts].count(line) == 1 and (3, rows[5][1]) in texts and (0, rows[2][1]) in texts
+        else:
+            assert set(texts) <= {(i or 0, t or "") for i, t, *_ in rows}
+        assert stages[name](spark, docs.limit(0), "").count() == 0
