@@ -54,8 +54,13 @@ def base(h: DataFrame, c: SnapshotConfig) -> DataFrame:
     return _aggregate(h, texts)
 
 
+def named(texts: P.Definitions) -> list[str]:
+    """SQL text for selectExpr, which takes hundreds of columns in one call."""
+    return [f"{text} as {name}" for name, text in texts]
+
+
 def _aggregate(rows: DataFrame, texts: P.Definitions) -> DataFrame:
-    return rows.groupBy("user_id").agg(*[F.expr(text).alias(name) for name, text in texts])
+    return rows.groupBy("user_id").agg(*map(F.expr, named(texts)))
 
 
 def last_orders(h: DataFrame, c: SnapshotConfig) -> DataFrame:
@@ -96,7 +101,8 @@ def zero_filled(spine: DataFrame, parts: list[DataFrame], c: SnapshotConfig) ->
     out = reduce(lambda a, b: a.join(b, "user_id", "left"), parts, spine)
     absent = {f"days_since_last_{e}_{c.recency}d": c.recency + 1 for e in P.EVENTS} | {f"never_{e}_{c.recency}d": 1 for e in P.EVENTS}
     # nulls come from users without rows alone: parts have none
-    return out.select("user_id", *[F.coalesce(F.col(f.name), F.lit(absent.get(f.name, 0)).cast(f.dataType)).alias(f.name) for f in out.schema if f.name != "user_id"])
+    filled = [(f.name, f"coalesce({f.name}, cast({absent.get(f.name, 0)} as {f.dataType.simpleString()}))") for f in out.schema if f.name != "user_id"]
+    return out.selectExpr("user_id", *named(filled))
 
 
 def raw(panel: DataFrame, c: SnapshotConfig, spine: DataFrame | None = None) -> DataFrame:
@@ -105,8 +111,8 @@ def raw(panel: DataFrame, c: SnapshotConfig, spine: DataFrame | None = None) ->
     return zero_filled(spine if spine is not None else users_of(panel), [base(h, c), last_orders(h, c), gaps(h, c), streaks(h, c)], c)
 
 
-def derived(rows: DataFrame, family: str, c: SnapshotConfig) -> list:
-    return [F.expr(text).alias(name) for name, text in P.DERIVED[family](c)]
+def derived(family: str, c: SnapshotConfig) -> list[str]:
+    return named(P.DERIVED[family](c))
 
 
 def snapshot(panel: DataFrame, c: SnapshotConfig, with_target: bool = True, spine: DataFrame | None = None) -> DataFrame:
@@ -114,9 +120,9 @@ def snapshot(panel: DataFrame, c: SnapshotConfig, with_target: bool = True, spin
     rows = raw(panel, c, spine)
     inner = {name for name, _ in P.window_squares(c)}
     first = [name for name in rows.columns if name not in inner and name not in ("user_id", "target")]
-    families = [x for family in P.DERIVED for x in derived(rows, family, c)]
-    head = [F.col("user_id"), F.lit(c.cutoff).cast("date").alias("cutoff_date"), *([F.col("target")] if with_target else [])]
-    return rows.select(*head, *first, *families)
+    families = [x for family in P.DERIVED for x in derived(family, c)]
+    head = ["user_id", f"cast('{c.cutoff}' as date) as cutoff_date", *(["target"] if with_target else [])]
+    return rows.selectExpr(*head, *first, *families)
 
 
 def feature_names(c: SnapshotConfig) -> list[str]:
