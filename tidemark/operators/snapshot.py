@@ -45,6 +45,15 @@ def history(panel: DataFrame, c: SnapshotConfig) -> DataFrame:
     return add_calendar(add_flags(near), c.week_origin).withColumn("d", F.datediff(cutoff, F.col("event_date"))).repartition("user_id")
 
 
+def named(texts: P.Definitions) -> list[str]:
+    """SQL text for selectExpr, which takes hundreds of columns in one call."""
+    return [f"{text} as {name}" for name, text in texts]
+
+
+def _aggregate(rows: DataFrame, texts: P.Definitions) -> DataFrame:
+    return rows.groupBy("user_id").agg(*map(F.expr, named(texts)))
+
+
 def base(h: DataFrame, c: SnapshotConfig) -> DataFrame:
     """All sums, maxima, recencies and distributions over the history: one aggregation."""
     texts = [
@@ -54,41 +63,34 @@ def base(h: DataFrame, c: SnapshotConfig) -> DataFrame:
     return _aggregate(h, texts)
 
 
-def named(texts: P.Definitions) -> list[str]:
-    """SQL text for selectExpr, which takes hundreds of columns in one call."""
-    return [f"{text} as {name}" for name, text in texts]
-
-
-def _aggregate(rows: DataFrame, texts: P.Definitions) -> DataFrame:
-    return rows.groupBy("user_id").agg(*map(F.expr, named(texts)))
+def ranked(h: DataFrame) -> DataFrame:
+    """h with order_rank (1 for the last order day) and last_order (its d), of the rows up to the cutoff."""
+    return h.selectExpr(
+        "*",
+        "row_number() over (partition by user_id, d >= 0 order by 1 - order_day, d) as order_rank",
+        "min(case when order_day = 1 and d >= 0 then d end) over (partition by user_id) as last_order",
+    )
 
 
 def last_orders(h: DataFrame, c: SnapshotConfig) -> DataFrame:
     """Values of the last three order days, and sums strictly after the last."""
-    past = h.where("d >= 0")
-    ranked = past.selectExpr(
-        "*",
-        "row_number() over (partition by user_id order by 1 - order_day, d) as order_rank",
-        "min(case when order_day = 1 then d end) over (partition by user_id) as last_order",
-    )
-    return _aggregate(ranked, P.last_orders(c) + P.after_last_order(c))
+    return _aggregate(ranked(h), P.last_orders(c) + P.after_last_order(c))
 
 
-def event_gaps(h: DataFrame) -> DataFrame:
-    """user_id, event, d, gap: a row for each day of each regular event, with the days since the event's day before."""
+def event_days(h: DataFrame) -> DataFrame:
+    """user_id, event, d, gap, length: a row for each day of each regular event, with the days since the event's day before and those of its run so far."""
     kinds = F.filter(F.array(*[F.when(F.col(P.EVENTS[e]) == 1, F.lit(e)) for e in P.REGULAR]), lambda x: x.isNotNull())
     long = h.where("d >= 0").select("user_id", "d", F.explode(kinds).alias("event"))
-    return long.selectExpr("user_id", "event", "d", "lag(d) over (partition by user_id, event order by d desc) - d as gap")
+    gaps = long.selectExpr("user_id", "event", "d", "lag(d) over (partition by user_id, event order by d desc) - d as gap")
+    return gaps.selectExpr("*", "min(case when gap = 1 then null else d end) over (partition by user_id, event order by d desc rows between unbounded preceding and current row) - d + 1 as length")
 
 
 def gaps(h: DataFrame, c: SnapshotConfig) -> DataFrame:
-    return _aggregate(event_gaps(h), P.gaps(c, PERCENTILE))
+    return _aggregate(event_days(h), P.gaps(c, PERCENTILE))
 
 
 def streaks(h: DataFrame, c: SnapshotConfig) -> DataFrame:
-    marked = event_gaps(h).selectExpr("user_id", "event", "sum(case when gap = 1 then 0 else 1 end) over (partition by user_id, event order by d desc rows between unbounded preceding and current row) as run")
-    runs = marked.groupBy("user_id", "event", "run").agg(F.count("*").alias("length"))
-    return _aggregate(runs, P.streaks(c))
+    return _aggregate(event_days(h), P.streaks(c))
 
 
 def users_of(panel: DataFrame) -> DataFrame:
@@ -108,7 +110,8 @@ def zero_filled(spine: DataFrame, parts: list[DataFrame], c: SnapshotConfig) ->
 def raw(panel: DataFrame, c: SnapshotConfig, spine: DataFrame | None = None) -> DataFrame:
     """All base columns for each user of the spine (that of the panel if none is given)."""
     h = history(panel, c)
-    return zero_filled(spine if spine is not None else users_of(panel), [base(h, c), last_orders(h, c), gaps(h, c), streaks(h, c)], c)
+    by_event = _aggregate(event_days(h), P.gaps(c, PERCENTILE) + P.streaks(c))
+    return zero_filled(spine if spine is not None else users_of(panel), [base(h, c), last_orders(h, c), by_event], c)
 
 
 def derived(family: str, c: SnapshotConfig) -> list[str]:

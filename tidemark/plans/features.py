@@ -151,7 +151,7 @@ def gaps(c: SnapshotConfig, percentile: str) -> Definitions:
 
 
 def streaks(c: SnapshotConfig) -> Definitions:
-    """Over rows (user_id, event, length): one for each run of consecutive days."""
+    """Over rows (user_id, event, length): one for each run of consecutive days, or more that lead up to it."""
     return [(f"{e}_longest_streak_{c.recency}d", f"cast(coalesce(max(length) filter (where event = '{e}'), 0) as bigint)") for e in REGULAR]
 
 
