@@ -46,6 +46,15 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gather(spark: SparkSession, parts: Iterable[DataFrame], schema: str, name: str = "table") -> DataFrame:
+    """All rows of the parts, which are made and written to one folder one after the other."""
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)  # the folder is there without parts
+    for df in parts:
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop(*settled: DataFrame) -> None:
     """Deletes settled tables that nothing will read any more."""
     for df in settled:

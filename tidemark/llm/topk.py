@@ -1,10 +1,11 @@
 """Exact top-k search by inner product: columnar branch and bound over blocks of vectors.
 
-Vectors are packed into blocks in a vertical layout (a row of the matrix is a dimension). Each block of queries meets each
-block of candidates in one row of a join, so the work is spread evenly whatever the vectors are, and no task holds more
-than two blocks. For a pair of blocks, products are summed a few dimensions at a time. What the dimensions to come can add
-is bounded by the product of the remaining masses (Cauchy-Schwarz). A candidate whose bound falls below the k-th best lower
-bound is dropped, and the survivors are compacted before the next dimensions.
+Vectors are packed into blocks in a vertical layout (a row of the matrix is a dimension). Candidates stay where they were
+packed: queries are dealt over rounds of at most ROUND numbers, and in each round all candidates are read once, with the
+round's queries broadcast. So nothing is shuffled but the best few of each task, and what a task holds doesn't grow with
+either table. For a pair of blocks, products are summed a few dimensions at a time. What the dimensions to come can add is
+bounded by the product of the remaining masses (Cauchy-Schwarz). A candidate whose bound falls below the k-th best lower
+bound is dropped, and the survivors are compacted before the next dimensions. A task's floors rise from block to block.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import gather, settle
 
 K = 5
 SCALE = 256
 #: Numbers in a block; it has at least one vector.
 BLOCK = 1 << 18
+#: Numbers of all queries of a round, of eight bytes each; this much is broadcast.
+ROUND = 1 << 22
 #: Dimensions that are summed before candidates are dropped.
 STRIDE = 16
 
@@ -101,30 +105,51 @@ def branch_and_bound(queries: tuple, candidates: tuple, floors: np.ndarray, k: i
             yield i, c_ids[alive[best]], sums[best].astype(np.int64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block: int = BLOCK, stride: int = STRIDE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k vectors with the highest integer inner product for each query.
+def _dealt(queries: DataFrame, block: int, most: int) -> tuple[DataFrame, int]:
+    """The queries (vec_id, parts) in blocks with the round of each, and how many rounds there are."""
+    numbers = queries.agg(F.sum(F.greatest(F.size("parts"), F.lit(1)))).first()[0] or 0
+    rounds = -(-numbers // most)
+    # even rounds, however often a vec_id is repeated
+    dealt = blocks(queries.repartition(max(1, rounds)), block).withColumn("round", F.spark_partition_id())
+    return settle(dealt, "queries"), rounds
 
-    Both tables have vec_id and embedding. A vector is no result for a query of its own vec_id; vectors of another
-    dimension are none either. A query with fewer candidates gets all; ties go to the smaller vec_id. Scores are 64-bit.
-    """
-    c = settle(blocks(quantised(vectors, scale), block), "candidates")
-    q = settle(blocks(quantised(queries, scale).repartition(F.col("vec_id")), block).withColumn("query_block", F.monotonically_increasing_id()), "queries")
-    salts = max(1, c.count())
-    dims = q.groupBy("dim").agg(F.collect_list("query_block").alias("query_blocks"))  # a number per thousands of queries
-    pairs = c.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).join(F.broadcast(dims), "dim").withColumn("query_block", F.explode("query_blocks")).drop("query_blocks")
-    left = q.select("dim", "query_block", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    met = pairs.join(left, ["dim", "query_block", "salt"])
+
+def _nearest(candidates: DataFrame, asked: Broadcast, k: int, stride: int) -> DataFrame:
+    """query, query_id, vec_id, score of the best of each task for the broadcast blocks of queries. query numbers the queries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floors: dict[int, np.ndarray] = {}
+        unpacked = [_unpack(*block) for block in asked.value]
+        first = np.cumsum([0] + [len(ids) for ids, _ in unpacked])
         for batch in batches:
             for r in batch.itertuples(index=False):
-                asked, offered = _unpack(r.dim, r.q_n, r.q_ids, r.q_parts), _unpack(r.dim, r.n, r.ids, r.parts)
-                floor = floors.setdefault(r.query_block, np.full(r.q_n, -np.inf))
-                found = list(branch_and_bound(asked, offered, floor, k, stride))
-                if found:
-                    yield pd.DataFrame({"query_id": np.repeat([asked[0][i] for i, _, _ in found], [len(v) for _, v, _ in found]), "vec_id": np.concatenate([v for _, v, _ in found]), "score": np.concatenate([s for _, _, s in found])})
-
-    near = met.select("dim", "n", "ids", "parts", "query_block", "q_n", "q_ids", "q_parts").mapInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                offered = _unpack(r.dim, r.n, r.ids, r.parts)
+                for b, (ids, q) in enumerate(unpacked):
+                    if len(q) != r.dim:
+                        continue
+                    found = list(branch_and_bound((ids, q), offered, floors.setdefault(b, np.full(len(ids), -np.inf)), k, stride))
+                    if found:
+                        at, sizes = np.array([i for i, _, _ in found]), [len(v) for _, v, _ in found]
+                        yield pd.DataFrame({"query": np.repeat(first[b] + at, sizes), "query_id": np.repeat(ids[at], sizes), "vec_id": np.concatenate([v for _, v, _ in found]), "score": np.concatenate([x for _, _, x in found])})
+
+    return candidates.select("dim", "n", "ids", "parts").mapInPandas(run, "query long, query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block: int = BLOCK, stride: int = STRIDE, most: int = ROUND) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k vectors with the highest integer inner product for each query.
+
+    Both tables have vec_id and embedding; other columns are passed over. A vector is no result for a query of its own vec_id;
+    vectors of another dimension are none either. A query with fewer candidates gets all; ties go to the smaller vec_id. Scores
+    are 64-bit. Each row of queries is a query and each row of vectors a candidate, repeated vec_ids too. Empty tables give
+    an empty one.
+    """
+    c = settle(blocks(quantised(vectors, scale), block), "candidates")
+    q, rounds = _dealt(quantised(queries, scale), block, most)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+
+    def best(number: int) -> DataFrame:
+        rows = q.where(F.col("round") == number).select("dim", "n", "ids", "parts").collect()  # at most a round
+        near = _nearest(c, vectors.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), k, stride)
+        return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    return gather(vectors.sparkSession, (best(i) for i in range(rounds)), "query_id long, rank int, vec_id long, score long", "nearest")
