@@ -43,9 +43,15 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has executors delete shuffle files that no query needs any more: Spark does so when the driver collects garbage, by itself every half hour."""
+    spark._jvm.System.gc()
+
+
 def gather(spark: SparkSession, parts: Iterable[DataFrame], schema: str, name: str = "table") -> DataFrame:
     """All rows of the parts, which are made and written to one folder one after the other."""
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
