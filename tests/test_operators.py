@@ -135,6 +135,30 @@ def test_models_learn(spark):
     assert out.agg(E.rmsle(F.col("target"), F.col("pred_log")).alias("e")).first().e < 0.3
 
 
+def test_fold_scores_and_acceptance(spark):
+    p = predictions(spark).withColumns({"probability": F.round("probability", 1), "pred_log": F.log1p("positive_prediction")})
+    lone = p.where("target > 0").limit(5).withColumn("fold", F.lit(9))
+    got = {r.fold: r for r in models.fold_scores(p.unionByName(lone)).collect()}
+    assert got[9].auc is None and set(got) == {0, 1, 9}
+    for fold in (0, 1):
+        one = p.where(F.col("fold") == fold)
+        assert got[fold].auc == pytest.approx(E.auc(one, "positive", "probability").first().auc)
+        x = one.toPandas()
+        assert got[fold].rmsle == pytest.approx(math.sqrt(((np.log1p(x.target) - x.pred_log) ** 2).mean()))
+    scores = models.fold_scores(p)
+    mean = (got[0].rmsle + got[1].rmsle) / 2
+    assert models.accepted(scores, mean + 0.002) == pytest.approx(mean)
+    assert models.accepted(scores, mean + 0.0005) is None and models.accepted(scores.limit(0), 1.0) is None
+
+
+def test_feature_sweep(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(math.expm1(3 * a) if a > 0.5 else 0)) for a, b in rng.uniform(0, 1, (300, 2))]
+    df = spark.createDataFrame(rows, "x double, noise double, target double")
+    found = models.top_feature_sweep(df, df, ["x", "noise"], (1, 2, 45), trees=3, depth=2)
+    assert sorted(n for n, _ in found) == [1, 2] and found[0][1] <= found[1][1] < 0.6
+
+
 def test_tables_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, dt.date(2025, 1, 1), 2.0), (2, dt.date(2025, 1, 8), 3.0)], "user_id long, cutoff_date date, x double")
     tables.write_snapshot(df, f"{tmp_path}/snap")

@@ -26,15 +26,20 @@ def logloss(positive: Column, probability: Column, edge: float = 1e-6) -> Column
     return -F.avg(positive * F.ln(p) + (1 - positive) * F.ln(1 - p))
 
 
-def auc(df: DataFrame, positive: str, probability: str, bins: int = 1024) -> DataFrame:
-    """auc in one row, exact with ties counted half. Ranks are summed by bin first, so no task sorts all rows."""
-    by = df.groupBy(F.col(probability).alias("p")).agg(F.sum(F.col(positive)).alias("pos"), F.sum(1 - F.col(positive)).alias("neg"))
+def auc(df: DataFrame, positive: str, probability: str, bins: int = 1024, keys: tuple[str, ...] = ()) -> DataFrame:
+    """auc for each value of the keys, or in one row; exact with ties counted half, null where there is one class alone.
+
+    Ranks are summed by bin first, so no task sorts all rows.
+    """
+    by = df.groupBy(*keys, F.col(probability).alias("p")).agg(F.sum(F.col(positive)).alias("pos"), F.sum(1 - F.col(positive)).alias("neg"))
     by = by.withColumn("bin", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) * bins))
-    per_bin = by.groupBy("bin").agg(F.sum("neg").alias("n"))
-    below_bin = per_bin.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # at most bins + 1 rows
-    inside = Window.partitionBy("bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("inner", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(below_bin, "bin")
-    return ranked.agg((F.sum(F.col("pos") * (F.col("before") + F.col("inner") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    per_bin = by.groupBy(*keys, "bin").agg(F.sum("neg").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most bins + 1 rows
+    below_bin = per_bin.select(*keys, "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*keys, "bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by.withColumn("inner", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(below_bin, [*keys, "bin"])
+    pairs = F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
+    return ranked.groupBy(*keys).agg((F.sum(F.col("pos") * (F.col("before") + F.col("inner") + F.col("neg") / 2)) / pairs).alias("auc"))
 
 
 def hurdle_log(probability: Column, positive_prediction: Column, gamma: float | Column = 1.0, scale: float | Column = 1.0) -> Column:

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluation import expanding_folds, hurdle_log
+from tidemark.operators.evaluation import auc, expanding_folds, hurdle_log, logloss, rmsle
 
 
 def _fit(rows: DataFrame, features: list[str], learner) -> object:
@@ -50,6 +50,35 @@ def backtest(rows: DataFrame, features: list[str], snapshots: list[str], first:
     return out
 
 
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """fold, rmsle, auc and logloss of out-of-fold predictions (of backtest); auc is null where a fold has one class alone."""
+    seen = predictions.withColumn("positive", (F.col("target") > 0).cast("int"))
+    scores = seen.groupBy("fold").agg(rmsle(F.col("target"), F.col("pred_log")).alias("rmsle"), logloss(F.col("positive"), F.col("probability")).alias("logloss"))
+    return scores.join(auc(seen, "positive", "probability", keys=("fold",)), "fold")
+
+
+def accepted(scores: DataFrame, baseline: float, min_gain: float = 0.001) -> float | None:
+    """The mean rmsle of the folds if it is better than the baseline's by min_gain at least, else None."""
+    mean = scores.agg(F.avg("rmsle")).first()[0]
+    return mean if mean is not None and baseline - mean >= min_gain else None
+
+
+#: Numbers of features that a sweep tries.
+SWEEP = (45, 100, 200, 300, 400, 500, 600)
+
+
+def top_feature_sweep(train: DataFrame, valid: DataFrame, ranked: list[str], sizes: tuple[int, ...] = SWEEP, **options) -> list[tuple[int, float]]:
+    """(size, rmsle on valid), best first, of models fitted on the first so many of the features, which are ranked by importance.
+
+    Sizes beyond the number of features count as all of them, once.
+    """
+    found = []
+    for size in sorted({min(n, len(ranked)) for n in sizes}):
+        scored = predict_hurdle(fit_hurdle(train, ranked[:size], **options), valid)
+        found.append((size, scored.agg(rmsle(F.col("target"), F.col("pred_log"))).first()[0]))
+    return sorted(found, key=lambda x: (x[1], x[0]))
+
+
 def feature_importance(model, features: list[str], most: int = 45) -> list[tuple[str, float]]:
     """The features that a fitted pipeline used most."""
     weights = model.stages[-1].featureImportances.toArray()

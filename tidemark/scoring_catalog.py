@@ -97,6 +97,14 @@ AUC_SQL = _round_sql(PREDICTIONS_SQL + """,
 ranked as (select positive, (rank() over (order by probability) + rank() over (order by probability) + count(*) over (partition by probability) - 1) / 2e0 r from pred),
 r as (select (sum(r) filter (where positive = 1) - sum(positive) * (sum(positive) + 1) / 2e0) / (sum(positive) * sum(1 - positive)) auc from ranked)""", ["auc"], "r")
 
+FOLD_SCORES_SQL = _round_sql(BASE_SQL + """,
+ranked as (select *, rank() over (partition by fold order by probability) + (count(*) over (partition by fold, probability) - 1) / 2e0 r from base),
+r as (
+    select fold, sqrt(avg(power(target_log - base_hurdle_log, 2))) rmsle, avg(-ln(case when positive = 1 then greatest(1e-6, least(1 - 1e-6, probability)) else 1 - greatest(1e-6, least(1 - 1e-6, probability)) end)) logloss,
+        (sum(r) filter (where positive = 1) - sum(positive) * (sum(positive) + 1) / 2e0) / (sum(positive) * sum(1 - positive)) auc
+    from ranked group by fold
+)""", ["rmsle", "logloss", "auc"], "r", ("fold",))
+
 HURDLE_NAMES = ["base_hurdle_log", "base_hurdle_predict", "target_log"]
 HURDLE_COMBINE_SQL = _round_sql(PREDICTIONS_SQL + f",\nr as (select user_id, snapshot_name, {HURDLE_SQL.format(g='1.1e0', s='1e0')} base_hurdle_log, exp({HURDLE_SQL.format(g='1.1e0', s='1e0')}) - 1 base_hurdle_predict, ln(1 + target) target_log from pred)", HURDLE_NAMES, "r", ("user_id", "snapshot_name"))
 
@@ -335,6 +343,7 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "rmsle": (_pred(rmsle_query, ("snapshot_name",)), RMSLE_SQL),
         "logloss": (_pred(lambda p: p.groupBy("snapshot_name").agg(E.logloss(F.col("positive"), F.col("probability")).alias("logloss")), ("snapshot_name",)), LOGLOSS_SQL),
         "auc": (_pred(lambda p: E.auc(p, "positive", "probability")), AUC_SQL),
+        "fold_scores": (_pred(lambda p: models.fold_scores(E.hurdle_combine(p).withColumn("pred_log", F.col("base_hurdle_log"))), ("fold",)), FOLD_SCORES_SQL),
         "hurdle_combine": (_pred(lambda p: E.hurdle_combine(p, 1.1).select(*us, *HURDLE_NAMES), us), HURDLE_COMBINE_SQL),
         "residual_winsorised": (_pred(lambda p: E.residuals(E.hurdle_combine(p)).select(*us, *RESIDUAL_NAMES), us), RESIDUAL_SQL),
         "alpha_grid": (_pred(lambda p: E.alpha_grid(E.hurdle_combine(p)), ("fold",)), ALPHA_SQL),
