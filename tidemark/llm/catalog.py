@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, line_dedup, mixing, ngram_join, packing, quality, rules, suffix_dedup, topk, toxicity
+from tidemark.llm import dual_tree, heap_codes, licenses, line_dedup, mixing, ngram_join, packing, ppm, quality, rules, suffix_dedup, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -55,8 +55,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_codes.reported(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_best_fit_packing, op2_exact_topk, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_quality_classifier, op7_suffix_dedup, op8_mixing, op9_license_scan, op10_quality_rules,
+    op11_centroid_clustering, op12_vector_codes, op13_lm_scores,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_quality_classifier, op7_suffix_dedup, op8_mixing, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP2_SQL = """
@@ -105,5 +123,54 @@ from whole w left join hits h using (doc_id) group by w.doc_id, w.near, w.text_d
 """
 
 
+WHOLE_SQL = """whole as materialized (
+    select row_number() over () rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) p from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)"""
+#: The floor of an exact quotient of two whole numbers of which n is positive.
+FLOORED = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+#: A squared distance of two lists of whole numbers.
+SQUARED = "cast(list_inner_product(cast({a} as double[]), cast({a} as double[])) - 2 * list_inner_product(cast({a} as double[]), cast({b} as double[])) + list_inner_product(cast({b} as double[]), cast({b} as double[])) as bigint)"
+
+
+def op11_sql(k: int = dual_tree.CLUSTERS, rounds: int = dual_tree.ROUNDS, dim: int = dual_tree.DIM, seed: int = dual_tree.SEED) -> str:
+    """Lloyd's rounds one after the other: all distances, then the floored means."""
+    steps = []
+    for i in range(rounds + 1):
+        away = SQUARED.format(a="v.p", b="c.p")
+        steps.append(f"a{i} as materialized (select rid, k, d from (select rid, k, d, row_number() over (partition by rid order by d, k) r from (select rid, k, {away} d from kept v cross join c{i} c)) where r = 1)")
+        if i < rounds:
+            steps.append(f"c{i + 1} as materialized (select k, list(x order by place) p from (select k, place, {FLOORED} x from long join a{i} using (rid) group by k, place) group by k union all select k, p from c{i} where k not in (select k from a{i}))")
+    return f"""
+with {WHOLE_SQL},
+kept as materialized (select * from whole where len(p) = {dim}),
+long as materialized (select rid, unnest(p) x, generate_subscripts(p, 1) place from kept),
+c0 as materialized (select k, p from (select p, row_number() over (order by sha256('{seed}:' || vec_id), p) - 1 k from kept where vec_id is not null) where k < {k}),
+{", ".join(steps)}
+select vec_id, cast(a.k as integer) as cluster, d distance, cast(sum(d) over (partition by a.k) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(c.p, ',')) centroid_sha256
+from a{rounds} a join kept using (rid) join c{rounds} c on a.k = c.k
+"""
+
+
+def op12_sql(parts: int = heap_codes.PARTS, entries: int = heap_codes.ENTRIES, rounds: int = heap_codes.ROUNDS) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        away = SQUARED.format(a="v.p", b="b.p")
+        steps.append(f"a{i} as materialized (select rid, part, j, d from (select rid, part, j, d, row_number() over (partition by rid, part order by d, j) r from (select rid, part, j, {away} d from cut v join b{i} b using (part))) where r = 1)")
+        if i < rounds:
+            steps.append(f"b{i + 1} as materialized (select part, j, list(x order by place) p from (select part, j, place, {FLOORED} x from long join a{i} using (rid, part) group by part, j, place) group by part, j union all select part, j, p from b{i} where (part, j) not in (select part, j from a{i}))")
+    return f"""
+with {WHOLE_SQL},
+cut as materialized (select rid, vec_id, label, part, list_slice(p, part * (len(p) // {parts}) + 1, (part + 1) * (len(p) // {parts})) p from whole cross join range({parts}) r(part)),
+long as materialized (select rid, part, unnest(p) x, generate_subscripts(p, 1) place from cut),
+b0 as materialized (select part, j, p from (select part, p, row_number() over (partition by part order by vec_id, p) - 1 j from cut where vec_id is not null) where j < {entries}),
+{", ".join(steps)},
+books as (select sha256(string_agg(array_to_string(p, ','), ',' order by part, j)) digest from b{rounds}),
+coded as (select rid, string_agg(lpad(lower(to_hex(j)), 2, '0'), '' order by part) code, cast(sum(d) as bigint) error from a{rounds} group by rid)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, digest codebooks_sha256
+from coded join whole using (rid) cross join books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op9_license_scan": op9_sql()}
+    return {"op2_exact_topk": OP2_SQL, "op9_license_scan": op9_sql(), "op11_centroid_clustering": op11_sql(), "op12_vector_codes": op12_sql()}
