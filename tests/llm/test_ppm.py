@@ -74,12 +74,22 @@ def test_against_plain_model(spark, block):
     check(ppm.lm_scores(docs, most=block).collect(), brute(ODD))
 
 
-def test_windows_of_long_texts(spark):
-    text = ("abc déf " * 900 + "x" * 5000).encode()
-    whole = next(ppm.grams(text))
-    parts = [g for n in (1, 7, 4096) for g in [list(ppm.grams(text, window=n))]]
-    assert all(whole.tolist() == [int(x) for w in p for x in w] for p in parts)
-    assert all(ppm.words(text, n) == ppm.words(text) for n in (1, 3, 100)) and ppm.words(text)[b"abc"] == 900
+def test_grams_of_many_texts_are_those_of_each():
+    texts = [b"", b"a", ("abc déf " * 90 + "x" * 500).encode(), b"", b"tail"]
+    one = [ppm.grams([t]).tolist() for t in texts]
+    assert ppm.grams(texts).tolist() == [x for t in one for x in t]
+    s = symbols(texts[2].decode())
+    assert one[2] == [sum(v << 9 * (ppm.ORDER - k) for k, v in enumerate(s[at - ppm.ORDER : at + 1])) for at in range(ppm.ORDER, len(s))]
+    for most in (1, 3, 10**6):
+        runs = list(ppm.windows(texts, most))
+        assert [t for _, run in runs for t in run] == texts and [lo for lo, _ in runs] == sorted({lo for lo, _ in runs})
+
+
+def test_a_long_text_stays_whole(spark):
+    rows = [(1, "many words and more " * 200_000), (2, "x" * 3_000_000), (3, "many words")]
+    out = {r.doc_id: r for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1].n_tokens, out[2].n_tokens, out[3].n_tokens) == (800_001, 2, 3)
+    assert out[2].score / 3_000_001 > -0.01
 
 
 def test_repeated_ids_and_nothing_to_learn(spark):

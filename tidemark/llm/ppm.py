@@ -18,13 +18,13 @@ joins, and each block gets the costs of its own grams back. Costs are whole numb
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from math import fsum, log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +37,8 @@ BITS = 9
 EDGE = 256
 SYMBOLS = 257
 #: Bytes of text in a block; a block has at least one text, whole.
-BLOCK = 16 << 20
-#: Positions whose grams are held at a time.
+BLOCK = 32 << 20
+#: Bytes of texts whose grams are made at a time; a longer text is taken whole.
 WINDOW = 1 << 20
 #: Costs are in units of 1 / UNIT.
 UNIT = 10**9
@@ -51,28 +51,34 @@ BLOCKS = "block long, rows int, ids binary, ids_there binary, held binary, sizes
 ASKED = "block long, gram long, word binary, n long"
 
 
-def grams(text: bytes, order: int = ORDER, window: int = WINDOW) -> Iterator[np.ndarray]:
-    """The packed gram of each position of a text and of its end, a window at a time."""
-    symbols = np.full(len(text) + order + 1, EDGE, np.int64)
-    symbols[order:-1] = np.frombuffer(text, np.uint8)
-    for lo in range(0, len(text) + 1, window):
-        n = min(window, len(text) + 1 - lo)
-        out = np.zeros(n, np.int64)
-        for k in range(order + 1):
-            out = (out << BITS) | symbols[lo + k : lo + k + n]
-        yield out
-
-
-def words(text: bytes, window: int = WINDOW) -> Counter:
-    """How often each word stands in a text; the text's end is the empty word."""
-    found, lo = Counter({b"": 1}), 0
-    while lo < len(text):
-        hi = lo + window
-        while hi < len(text) and text[hi : hi + 1] not in b" \t\n\v\f\r":
-            hi += 1
-        found.update(text[lo:hi].split())
-        lo = hi
-    return found
+def grams(texts: list[bytes], order: int = ORDER) -> np.ndarray:
+    """The packed grams of all positions of the texts and of their ends, one text after the other."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    # order edges stand before each text, of which the first is also the end of the text before
+    ends = np.cumsum(sizes) + order * np.arange(1, len(texts) + 1)
+    symbols = np.full(len(data) + order * (len(texts) + 1), EDGE, np.int64)
+    symbols[np.arange(len(data)) + order * np.repeat(np.arange(1, len(texts) + 1), sizes)] = data
+    out = np.zeros(len(symbols) - order, np.int64)
+    for k in range(order + 1):
+        out <<= BITS
+        out |= symbols[k : k + len(out)]
+    kept = np.zeros(len(out), bool)
+    kept[np.arange(len(data)) + order * np.repeat(np.arange(len(texts)), sizes)] = True
+    kept[ends - order] = True
+    return out[kept]
+
+
+def windows(texts: list[bytes], most: int = WINDOW) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of at most that many bytes, with the number of the first; a text that is longer is a run of its own."""
+    lo, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > lo and size + len(text) > most:
+            yield lo, texts[lo:i]
+            lo, size = i, 0
+        size += len(text)
+    if texts:
+        yield lo, texts[lo:]
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -89,7 +95,7 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
             texts = found["text"].tolist()
             held.clear()
             size, number = 0, number + 1
-            packed = (*packed_longs(found["doc_id"]), found["held_out"].to_numpy().astype("u1").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), zlib.compress(b"".join(texts), 3))
+            packed = (*packed_longs(found["doc_id"]), found["held_out"].to_numpy().astype("u1").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), pa.compress(b"".join(texts), codec="zstd", asbytes=True))
             return pd.DataFrame([(first + number - 1, len(texts), *packed)], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -109,44 +115,56 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
 
 def _texts(r) -> list[bytes]:
     ends = np.cumsum(np.frombuffer(r.sizes, "<i8")).tolist()
-    data = zlib.decompress(r.texts)
+    data = pa.decompress(r.texts, ends[-1], codec="zstd", asbytes=True)
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _held(r) -> np.ndarray:
+    return np.frombuffer(r.held, "u1").astype(bool)
+
+
+def _words(texts: list[bytes], held: np.ndarray) -> Counter:
+    """How often each word of the texts stands in those that are learned from; 0 for those of others alone. A text's end is the empty word."""
+    learned = Counter({b"": int((~held).sum())})
+    others: set = set()
+    for text, out in zip(texts, held.tolist(), strict=True):
+        (others if out else learned).update(text.split())
+    for w in others - learned.keys():
+        learned[w] = 0
+    return learned
+
+
+def _counted(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of the texts in order, and how often each stands in those that are learned from."""
+    kinds, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        code, distinct = pd.factorize(np.concatenate([kinds, *(g for g, _ in waiting)]))
+        return distinct, np.bincount(code, np.concatenate([counts, *(n for _, n in waiting)]), len(distinct))
+
+    for lo, run in windows(texts):
+        waiting.append((grams(run, order), np.repeat(1.0 - held[lo : lo + len(run)], [len(t) + 1 for t in run])))
+        size += len(waiting[-1][0])
+        if size > 2 * len(kinds) + WINDOW:  # so that a gram is merged few times
+            (kinds, counts), size = merged(), 0
+            waiting.clear()
+    kinds, counts = merged()
+    at = np.argsort(kinds)
+    return kinds[at], counts[at].astype(np.int64)
+
+
 def _asked(blocks: DataFrame, order: int) -> DataFrame:
     """By block, each distinct gram and word, with its count in the texts that are learned from (0 where only others have it)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                found, counts, seen, learned = [], [], set(), Counter()
-                part, part_of, size = [], [], 0
-
-                def merge() -> None:
-                    if part:
-                        code, kinds = pd.factorize(np.concatenate([*found, *part]))
-                        n = np.concatenate([*counts, *part_of])
-                        found[:], counts[:] = [kinds], [np.bincount(code, n, len(kinds))]
-                        part.clear(), part_of.clear()
-
-                for text, held in zip(_texts(r), r.held, strict=True):
-                    for g in grams(text, order):
-                        part.append(g)
-                        part_of.append(np.full(len(g), 0.0 if held else 1.0))
-                        size += len(g)
-                        if size >= 2 * WINDOW:
-                            merge()
-                            size = 0
-                    own = words(text)
-                    seen.update(own)
-                    if not held:
-                        learned.update(own)
-                merge()
-                g, n = found[0], counts[0].astype(np.int64)
-                at = np.argsort(g)
-                yield pd.DataFrame({"block": r.block, "gram": g[at], "word": None, "n": n[at]})
-                ws = sorted(seen)
-                yield pd.DataFrame({"block": r.block, "gram": NO_GRAM, "word": ws, "n": [learned[w] for w in ws]})
+                texts, held = _texts(r), _held(r)
+                g, n = _counted(texts, held, order)
+                for lo in range(0, len(g), WINDOW):
+                    yield pd.DataFrame({"block": r.block, "gram": g[lo : lo + WINDOW], "word": None, "n": n[lo : lo + WINDOW]})
+                found = sorted(_words(texts, held).items())
+                yield pd.DataFrame({"block": r.block, "gram": NO_GRAM, "word": [w for w, _ in found], "n": [n for _, n in found]})
 
     return blocks.mapInPandas(run, ASKED)
 
@@ -171,7 +189,9 @@ def trie(counted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     nodes = settle(nodes, "nodes")
     parents = nodes.select((F.col("level") + 1).alias("level"), F.col("context").alias("parent"), F.col("total").alias("above"), F.col("kinds").alias("kinds_above"))
     full = nodes.withColumn("parent", _low(F.col("context"), F.col("level") - 1)).join(parents, ["level", "parent"], "left")
-    return by_order, settle(full.select("level", "context", "total", "kinds", (F.col("above") - F.col("under")).alias("below"), (F.col("kinds_above") - F.col("kinds")).alias("fewer")), "trie")
+    full = settle(full.select("level", "context", "total", "kinds", (F.col("above") - F.col("under")).alias("below"), (F.col("kinds_above") - F.col("kinds")).alias("fewer")), "trie")
+    drop(nodes)
+    return by_order, full
 
 
 def costs(counted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -199,27 +219,34 @@ def costs(counted: DataFrame, order: int = ORDER) -> DataFrame:
     escapes = F.aggregate(passed, F.lit(0.0), lambda so_far, x: so_far + F.log10(half * x["fewer"] / x["below"]))
     last = F.when(F.col("found") >= 0, F.log10((F.col("n") - half) / node(F.col("found") + 1)["below"])).otherwise(-F.log10(SYMBOLS - node(F.lit(0))["kinds"]))
     cost = F.when(F.col("top").isNull(), -F.log10(F.lit(float(SYMBOLS)))).when(F.col("found") == F.col("top"), F.log10((F.col("n") - half) / node(F.col("top"))["total"])).otherwise(escape + escapes + last)
-    return direct.unionByName(at.select("gram", unit(cost)))
+    out = settle(direct.unionByName(at.select("gram", unit(cost))), "costs")
+    drop(by_order, nodes)
+    return out
 
 
 def _scored(blocks: DataFrame, answered: DataFrame, order: int, train_tokens: int, kinds: int) -> DataFrame:
-    """The rows of all blocks with their scores; answered has by block the cost of each gram and the count of each word."""
+    """The rows of all blocks with their scores; answered has by block the cost of each gram, and the count of each word that other blocks have too."""
     bottom = train_tokens + ADDED * (kinds + 1)
 
     def score(key: tuple, block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         (r,) = block.itertuples(index=False)
-        of_grams = answers["word"].isna().to_numpy()
-        known = pd.Index(answers["gram"].to_numpy()[of_grams].astype(np.int64))
-        cost = answers["value"].to_numpy()[of_grams].astype(np.int64)
-        counts = dict(zip(answers["word"][~of_grams], answers["value"][~of_grams].astype(int), strict=True))
-        out = []
-        for text in _texts(r):
-            total = sum(int(cost[known.get_indexer(g)].sum()) for g in grams(text, order))
-            own = words(text)
-            base = fsum(n * log10((counts[w] + ADDED) / bottom) for w, n in own.items())
-            out.append((sum(own.values()), sum(n for w, n in own.items() if counts[w]), base, total / UNIT))
-        found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-        return found.assign(doc_id=longs(r.ids, r.ids_there), held_out=np.frombuffer(r.held, "u1").astype(bool), train_tokens=train_tokens)
+        texts, held = _texts(r), _held(r)
+        of_grams = (answers["gram"] != NO_GRAM).to_numpy()
+        known = pd.Index(answers["gram"].to_numpy()[of_grams])
+        cost = answers["value"].to_numpy()[of_grams]
+        counts = _words(texts, held)
+        counts.update(dict(zip(answers["word"][~of_grams], (answers["value"] - answers["own"])[~of_grams].tolist(), strict=True)))
+        weight = {n: log10((n + ADDED) / bottom) for n in set(counts.values())}
+        total, tokens = [], []
+        for _, run in windows(texts):
+            each = cost[known.get_indexer(grams(run, order))]
+            total.append(np.add.reduceat(each, np.cumsum([0] + [len(t) + 1 for t in run[:-1]])))
+        for text in texts:
+            own = [counts[w] for w in text.split()]
+            own.append(counts[b""])
+            tokens.append((len(own), len(own) - own.count(0), fsum(weight[n] for n in own)))
+        found = pd.DataFrame(tokens, columns=["n_tokens", "n_known", "base_score"])
+        return found.assign(doc_id=longs(r.ids, r.ids_there), held_out=held, train_tokens=train_tokens, score=np.concatenate(total) / UNIT)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, schema)
@@ -232,7 +259,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, most: int = BLOCK) -> DataFra
     isn't divisible by ten; rows without a doc_id are learned from too. score is the byte model's for all bytes of the text,
     white space too, and its end; base_score that of its words and its end, each count raised by a tenth. A null text is an
     empty one, which has its end alone. Each row is a text, repeated ones too. A text stays whole in one block, however long;
-    its grams are made a window at a time. With nothing to learn from, each byte has a probability of 1 in 257. Empty tables give an
+    that takes some hundred bytes of memory for each of its own. With nothing to learn from, each byte has a probability of 1 in 257. Empty tables give an
     empty one.
     """
     doc_id = F.col("doc_id").cast("long")
@@ -240,16 +267,15 @@ def lm_scores(docs: DataFrame, order: int = ORDER, most: int = BLOCK) -> DataFra
     text = F.coalesce(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")).cast("binary")
     blocks = settle(_blocks(docs.select(doc_id.alias("doc_id"), held.alias("held_out"), text.alias("text")), most), "texts")
     asked = settle(_asked(blocks, order), "asked")
-    of_words = asked.where("word is not null")
-    vocabulary = settle(of_words.groupBy("word").agg(F.sum("n").alias("value")), "words")
+    of_words, of_grams = asked.where("word is not null"), asked.where("word is null")
+    vocabulary = settle(of_words.groupBy("word").agg(F.sum("n").alias("value"), F.count("*").alias("blocks")), "words")
     train_tokens, kinds = vocabulary.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count(F.when(F.col("value") > 0, 1))).first()
-    of_grams = asked.where("word is null")
+    # a word of one block alone is known there: most words of a large corpus stand in one text
+    told = settle(of_words.join(vocabulary.where("blocks > 1"), "word").where("value <> n").select("block", F.lit(NO_GRAM).cast("long").alias("gram"), "word", "value", F.col("n").alias("own")), "told")
+    drop(vocabulary)
     counted = settle(of_grams.groupBy("gram").agg(F.sum("n").alias("n")), "counted")
-    priced = settle(costs(counted, order), "costs")
-    answered = (
-        of_grams.select("block", "gram").join(priced, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("cost").alias("value"))
-        .unionByName(of_words.select("block", "word").join(vocabulary, "word").select("block", F.lit(NO_GRAM).cast("long").alias("gram"), "word", "value"))
-    )
-    out = settle(_scored(blocks, answered, order, train_tokens, kinds), "scores")
-    drop(blocks, asked, vocabulary, counted, priced)
+    priced = costs(counted, order)
+    priced_grams = of_grams.select("block", "gram").join(priced, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("cost").alias("value"), F.lit(0).cast("long").alias("own"))
+    out = settle(_scored(blocks, priced_grams.unionByName(told), order, train_tokens, kinds), "scores")
+    drop(blocks, asked, told, counted, priced)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
