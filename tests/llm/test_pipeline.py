@@ -4,6 +4,7 @@ import os
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -46,3 +47,30 @@ def test_stages_on_nulls_repeats_and_names_that_clash(spark):
         else:
             assert set(texts) <= {(i or 0, t or "") for i, t, *_ in rows}
         assert stages[name](spark, docs.limit(0), "").count() == 0
+
+
+def test_rows_that_differ_by_the_place_of_a_null_stay_apart(spark):
+    text = "some text here"
+    rows = [(1, None, text, "s"), (1, text, None, "s"), (None, None, text, "s"), (None, text, None, "s"), (1, text, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tags", F.expr("if(lang is null, array(null, 1), array(1, null))"))
+    keys = docs.select(pipeline._row_key(docs).alias("a"), pipeline._row_key(docs, 1).alias("b")).distinct().collect()
+    assert len(keys) == 4 and len({r.a for r in keys}) == 4 and not {r.a for r in keys} & {r.b for r in keys}
+    kept = dict(pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "").collect()
+    assert len([r for r in kept if r.text is None]) == 2, "rows without a text are linked with nothing"
+    assert len([r for r in kept if r.text == text]) == 1, "of equal texts one stays, with the text"
+
+
+def test_classifier_stage_on_nulls_and_names_that_clash(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"_SCORE": F.lit(1), "_Features": F.lit("x"), "Label": F.lit(None).cast("int")})
+    odd = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    got = dict(pipeline.STAGES)["quality classifier"](spark, docs.unionByName(odd), SF)
+    assert got.columns == docs.columns and 0 < got.count() <= docs.count() + 1
+    assert labels.count() and dict(pipeline.STAGES)["quality classifier"](spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_stage_on_nulls_and_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, None, 5), (None, "", 6), (None, "a b", 7), (1, None, 5)], "doc_id long, text string, PIECE int")
+    got = dict(pipeline.STAGES)["best-fit packing"](spark, docs, "").collect()
+    assert sorted(r.length for r in got)[:3] == [1, 1, 1] and len({(r.sequence_id, r.offset) for r in got}) == 4
+    assert dict(pipeline.STAGES)["best-fit packing"](spark, docs.limit(0), "").count() == 0

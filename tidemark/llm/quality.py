@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
 from tidemark.llm import factorization as fm
 from tidemark.llm.text_vectors import LOWER, MARKS, SPACE, Chunk, Hashes, chunks, words
 
@@ -84,9 +85,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, most_rows: int) -> fm.Model:
 
 def accepted(docs: DataFrame, labels: DataFrame, most_rows: int = fm.MOST_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that quality() predicts 1 for."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs.columns, "_score")
     return fm.scored(docs, _fitted(docs, labels, most_rows), features, name).where(F.col(name) >= threshold).drop(name)
 
 
