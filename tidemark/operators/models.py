@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
 from tidemark.operators.evaluation import auc, expanding_folds, hurdle_log, logloss, rmsle
 
 
@@ -38,6 +41,29 @@ def predict_hurdle(models, rows: DataFrame, gamma: float = 1.0) -> DataFrame:
     return scored.withColumn("pred_log", hurdle_log(F.col("probability"), F.col("positive_prediction"), gamma)).withColumn("predict", F.expm1("pred_log"))
 
 
+#: What the boosted hurdle learns with, unless told otherwise.
+BOOSTED = boosting.Options(trees=20, depth=3, rate=0.2, bins=48, patience=10)
+
+
+def fit_boosted_hurdle(train: DataFrame, features: list[str], weight: str | None = None, options: boosting.Options = BOOSTED, held: int = 10):
+    """(classifier, regressor) over histograms: of target > 0 over all rows, of log1p(target) over rows with a positive target.
+
+    Every held-th user, by a hash, isn't learned from but stops the boosting of both.
+    """
+    rows = train.withColumns({"_any": (F.col("target") > 0).cast("double"), "_log": F.log1p("target"), "_held": F.pmod(F.xxhash64("user_id"), F.lit(held)) == 0})
+    classifier = boosting.fit(rows, features, "_any", weight, "_held", replace(options, loss="logistic"))
+    return classifier, boosting.fit(rows.where("target > 0"), features, "_log", weight, "_held", replace(options, loss="squared"))
+
+
+def predict_boosted_hurdle(models, rows: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """rows with probability, positive_prediction, pred_log and predict."""
+    classifier, regressor = models
+    scored = regressor.predict(classifier.predict(rows, "probability"), "_positive_log")
+    out = scored.withColumn("positive_prediction", F.expm1(F.greatest(F.lit(0.0), F.col("_positive_log")))).drop("_positive_log")
+    out = out.withColumn("pred_log", hurdle_log(F.col("probability"), F.col("positive_prediction"), gamma))
+    return out.withColumn("predict", F.expm1("pred_log"))
+
+
 def backtest(rows: DataFrame, features: list[str], snapshots: list[str], first: int = 2, **options) -> DataFrame:
     """Out-of-fold predictions over expanding windows of snapshots, with fold. A model is fitted for each fold."""
     parts = []
