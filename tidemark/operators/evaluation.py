@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.functions.expr import logit, sigmoid
 from tidemark.operators.guards import require_unique
 
@@ -59,12 +60,12 @@ def hurdle_combine(df: DataFrame, gamma: float = 1.0) -> DataFrame:
 def residuals(df: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """df (of hurdle_combine) with residual, residual_abs and residual_clipped at its quantiles.
 
-    The quantiles are one row, joined on a constant; the exact percentile aggregates counts of distinct values.
+    The quantiles are exact and found by distributed selection.
     """
     df = df.withColumn("residual", F.col("target_log") - F.col("base_hurdle_log"))
-    edges = df.agg(F.percentile("residual", low).alias("low"), F.percentile("residual", high).alias("high")).withColumn("one", F.lit(1))
-    out = df.withColumn("one", F.lit(1)).join(F.broadcast(edges), "one")
-    return out.withColumns({"residual_abs": F.abs("residual"), "residual_clipped": F.greatest(F.least("residual", "high"), "low")}).drop("one", "low", "high")
+    least, most = exact_quantiles(df.select(F.lit("residual").alias("name"), F.col("residual").alias("value")), {"residual": [low, high]})["residual"]
+    clipped = F.greatest(F.least("residual", F.lit(most).cast("double")), F.lit(least).cast("double"))
+    return df.withColumns({"residual_abs": F.abs("residual"), "residual_clipped": clipped})
 
 
 def _steps(first: float, last: float, step: float) -> list[float]:
@@ -260,7 +261,10 @@ def prediction_stats(df: DataFrame, base: str, models: list[str]) -> DataFrame:
     """model, corr_log (with the base's logs), mean, median, p95 and max of each model's predictions."""
     log = lambda m: F.log1p(F.greatest(F.lit(0.0), F.col(m)))
     long = df.select(log(base).alias("base"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("v")) for m in models])).alias("x"))
-    return long.groupBy("x.model").agg(F.corr("base", F.log1p(F.greatest(F.lit(0.0), F.col("x.v")))).alias("corr_log"), F.avg("x.v").alias("mean_pred"), F.percentile("x.v", 0.5).alias("median_pred"), F.percentile("x.v", 0.95).alias("p95_pred"), F.max("x.v").alias("max_pred"))
+    sums = long.groupBy("x.model").agg(F.corr("base", F.log1p(F.greatest(F.lit(0.0), F.col("x.v")))).alias("corr_log"), F.avg("x.v").alias("mean_pred"), F.max("x.v").alias("max_pred"))
+    middle = exact_quantiles(long.select("x.model", "x.v"), {m: [0.5, 0.95] for m in models}, "model", "v")
+    found = df.sparkSession.createDataFrame([(m, *map(lambda q: None if q is None else float(q), qs)) for m, qs in middle.items()], "model string, median_pred double, p95_pred double")
+    return sums.join(F.broadcast(found), "model").select("model", "corr_log", "mean_pred", "median_pred", "p95_pred", "max_pred")
 
 
 def linear_calibration(df: DataFrame, log_column: str) -> DataFrame:

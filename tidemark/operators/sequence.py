@@ -138,3 +138,11 @@ def dense(rows: DataFrame, columns: list[str], c: SequenceConfig) -> DataFrame:
     every = rows.select("user_id").distinct().join(own, "user_id", "left")
     none = F.array_repeat(F.lit(0.0).cast("float"), len(columns))
     return every.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(c.history - 1)), lambda i: F.coalesce(F.try_element_at("days", i), none)).alias("tensor"))
+
+
+def log_tensors(panel: DataFrame, c: SequenceConfig, columns: tuple[str, ...] = VALUES) -> DataFrame:
+    """user_id, tensor of log1p of the columns' daily values, and the target in money, for every user of the panel."""
+    rows = cutoff_state_rows(sequence_days(panel, c), c)
+    targets = rows.groupBy("user_id").agg(F.first("target").alias("target"))
+    logs = F.transform("tensor", lambda day: F.transform(day, lambda x: F.log1p(F.greatest(x, F.lit(0.0).cast("float"))).cast("float")))
+    return dense(rows, list(columns), c).join(targets, "user_id").select("user_id", logs.alias("tensor"), "target")

@@ -154,10 +154,11 @@ class Epochs:
         return self.spark.read.parquet(*[f"{self.path}/epoch-{n:06d}" for n in self.numbers()]).select(F.col("epoch").cast("int").alias("epoch"), "train_loss", "valid_loss")
 
 
-def fit(network: Network, train: DataFrame, valid: DataFrame | None = None, epochs: int = 10, batch: int = 4096, rate: float = 0.001, clip: float = 1.0, patience: int = 3, seed: int = 0, unit: int = UNIT, store: Epochs | None = None, stop: Callable[[State], bool] = lambda s: False) -> State:
+def fit(network: Network, train: DataFrame, valid: DataFrame | None = None, epochs: int = 10, batch: int = 4096, batches: int | None = None, rate: float = 0.001, clip: float = 1.0, patience: int = 3, seed: int = 0, unit: int = UNIT, store: Epochs | None = None, stop: Callable[[State], bool] = lambda s: False) -> State:
     """The state after training on rows of (user_id, tensor, target), each user once; best holds the weights to use.
 
-    The loss is the mean squared error. With validation rows the best epoch is that of the least validation loss, and training
+    An epoch has so many batches, or batches of at most batch users where their number isn't given: a step is a job, so a large
+    table wants large batches. The loss is the mean squared error. With validation rows the best epoch is that of the least validation loss, and training
     ends after patience epochs without a better one; without, it is the last. With a store, each epoch is committed and a
     run goes on after the last one that is. stop(state) after an epoch ends the run. Without rows the network stays as it was.
     """
@@ -166,8 +167,8 @@ def fit(network: Network, train: DataFrame, valid: DataFrame | None = None, epoc
         state = store.load(store.numbers()[-1])
     held = settle(packed(valid, dealt(valid, 1, seed=seed), unit), "valid") if valid is not None else None
     while state.epoch < epochs and (held is None or state.epoch - state.best_epoch < patience):
-        places = settle(dealt(train, size=batch, epoch=state.epoch, seed=seed), "places")
-        units = settle(packed(train, places, unit).repartition("batch", "unit").sortWithinPartitions("batch"), "units")
+        places = settle(dealt(train, batches, batch, epoch=state.epoch, seed=seed), "places")
+        units = settle(packed(train, places, unit), "units", "batch")
         steps, seen, loss = (places.agg(F.max("batch")).first()[0]), 0, 0.0
         for b in range(0 if steps is None else steps + 1):
             n, error, gradient = summed(units.where(F.col("batch") == b), network, state.weights)

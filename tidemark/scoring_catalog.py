@@ -6,16 +6,20 @@ at three cutoffs. Both engines can make them, so grids and blends see equal inpu
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Query, _read, events, orders, rounded
-from tidemark.operators import btyd, guards, models, stacking
+from tidemark.operators import btyd, guards, models, networks, search, stacking, training
 from tidemark.operators import evaluation as E
+from tidemark.operators import sequence as S
 from tidemark.operators import snapshot as N
 from tidemark.plans import oracle as O
-from tidemark.plans.config import EVENTS, ORDERS, SnapshotConfig
-from tidemark.sources.shared import new_path
+from tidemark.plans.config import EVENTS, EVENTS_SEQUENCE, ORDERS, ORDERS_SEQUENCE, SnapshotConfig
+from tidemark.sources.shared import new_path, settle
+from tidemark.sources.tables import discovered, weighted
 from tidemark.streaming import daily
 
 SNAPSHOTS = {"train_cutoff_2000-07-01": "2000-07-01", "train_cutoff_2000-09-29": "2000-09-29", "train_cutoff_2000-12-28": "2000-12-28"}
@@ -305,6 +309,67 @@ def boosted_hurdle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict_boosted_hurdle(learned, rows.where(F.col("snapshot_name") == last))
 
 
+def gru_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts in log space of the events' second cutoff by a recurrent network that is trained on the first."""
+    panel, before, last = events(spark, sf_dir), replace(EVENTS_SEQUENCE, cutoff="2024-01-10"), EVENTS_SEQUENCE
+    log = F.log1p("target")
+    tensors = [S.log_tensors(panel, c).select("user_id", F.lit(c.cutoff).alias("snapshot_name"), "tensor", log.alias("target")) for c in (before, last)]
+    rows = settle(tensors[0].unionByName(tensors[1]), "tensors")
+    return training.out_of_fold(networks.gru(len(S.VALUES), 16), rows, [before.cutoff, last.cutoff], name="pred_log", epochs=3, batches=8, rate=0.01)
+
+
+TCN_COLUMNS = ("gmv", "gmv_search", "to_ord", "searches")
+
+
+def tcn_residual_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last snapshot's hurdle with residuals of a convolutional network, which sees earlier snapshots alone, at the alpha that the grid accepts for the one before."""
+    panel, names = orders(spark, sf_dir), sorted(SNAPSHOTS)
+    p = settle(E.residuals(E.hurdle_combine(predictions(spark, sf_dir).drop("fold", "residual_prediction"), 1.1)), "predictions")
+    tensors = None
+    for name in names:
+        own = S.log_tensors(panel, replace(ORDERS_SEQUENCE, cutoff=SNAPSHOTS[name], history=90), TCN_COLUMNS).withColumn("snapshot_name", F.lit(name))
+        tensors = own if tensors is None else tensors.unionByName(own)
+    rows = settle(tensors.drop("target").join(p.select("user_id", "snapshot_name", F.col("residual_clipped").alias("target")), ["user_id", "snapshot_name"]), "tensors")
+    found = training.out_of_fold(networks.tcn(len(TCN_COLUMNS), 16), rows, names, epochs=2, batches=6, rate=0.01)
+    scored = settle(p.join(found, ["user_id", "snapshot_name"]), "residuals")
+    alpha = E.chosen_alpha(E.alpha_grid(scored.where(F.col("snapshot_name") == names[-2])))
+    last = scored.where(F.col("snapshot_name") == names[-1])
+    return E.final_submission(*(last.select("user_id", c) for c in ("probability", "positive_prediction", "residual_prediction")), alpha)
+
+
+def hurdle_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials of a search for the hurdle's exponent, scale and bias, four at once, each one aggregation over all predictions."""
+    p = settle(predictions(spark, sf_dir).select("target", "probability", "positive_prediction"), "predictions")
+
+    def error(x: dict) -> float:
+        log = F.greatest(F.lit(0.0), E.hurdle_log(F.col("probability"), F.col("positive_prediction"), x["gamma"], x["scale"]) + x["bias"])
+        return p.agg(E.rmsle(F.col("target"), log)).first()[0]
+
+    space = {"gamma": search.Range(0.5, 2.0), "scale": search.Range(0.25, 1.5, log=True), "bias": search.Range(-0.5, 1.5)}
+    store = search.Trials(spark, new_path(spark, "trials"))
+    search.search(error, space, 20, store, seed=7)
+    return store.table()
+
+
+FILE_COLUMNS = "user_id long, target double, gmv_270 double"
+FILE_WEIGHTS = {"train_cutoff_2000-09-29": 2.0, "train_cutoff_2000-12-28": 3.0}
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots written to folders of their own, then found by their files, named by their paths, weighed and summed."""
+    root = new_path(spark, "snapshots")
+    rows = settle(predictions(spark, sf_dir).select("user_id", "snapshot_name", "target", "gmv_270"), "predictions")
+    for k, name in enumerate(sorted(SNAPSHOTS)):
+        rows.where(F.col("snapshot_name") == name).drop("snapshot_name").write.parquet(f"{root}/part_{k}/deep/{name}.snapshot")
+    found = weighted(discovered(spark, root, FILE_COLUMNS, names=sorted(SNAPSHOTS)), FILE_WEIGHTS)
+    sums = found.groupBy("snapshot_name").agg(F.count("*").alias("n"), F.round(F.sum("target"), 2).alias("target"), F.round(F.sum(F.col("gmv_270") * F.col("sample_weight")), 2).alias("weighed"))
+    return rounded(sums, ("snapshot_name",))
+
+
+FILES_SQL = _round_sql(PREDICTIONS_SQL + f""",
+r as (select snapshot_name, count(*) n, round(sum(target), 2) target, round(sum(gmv_270 * case snapshot_name {" ".join(f"when '{k}' then {w}e0" for k, w in FILE_WEIGHTS.items())} else 1e0 end), 2) weighed from pred group by 1)""", ["n", "target", "weighed"], "r", ("snapshot_name",))
+
+
 def streaming_daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closed days of the events read as a stream, in one available-now run."""
     source = _read(spark, sf_dir, "events")
@@ -380,4 +445,8 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "gamma_gamma_spend": (gamma_gamma_spend, None),
         "gbt_hurdle": (gbt_hurdle, None),
         "boosted_hurdle": (boosted_hurdle, None),
+        "gru_forecast": (gru_forecast, None),
+        "tcn_residual_submission": (tcn_residual_submission, None),
+        "hurdle_search": (hurdle_search, None),
+        "snapshot_files": (snapshot_files, FILES_SQL),
     }

@@ -29,10 +29,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, so that a lost executor costs only the tasks it ran."""
+def settle(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written to the shared folder (in a folder for each value of by) and read again, so that a lost executor costs only the tasks it ran."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +50,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def drop(*settled: DataFrame) -> None:
     """Deletes settled tables that nothing will read any more."""
     for df in settled:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for folder in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
             remove(df.sparkSession, folder)
 
 

@@ -21,6 +21,30 @@ def read_snapshots(spark: SparkSession, paths: list[str], weights: dict[str, flo
     return df
 
 
+def discovered(spark: SparkSession, root: str, schema: str, pattern: str = "*.parquet", names: list[str] | None = None) -> DataFrame:
+    """Rows of all files below root, at any depth, whose own name fits the pattern, with file_path and snapshot_name.
+
+    snapshot_name is the one of names that the path below root holds (the longest, if it holds several), null if none; without names
+    it is the folder that the file is in. The files' schema is given, so none is opened to find it out.
+    """
+    found = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(root).select("*", F.col("_metadata.file_path").alias("file_path"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    above = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).depth()
+    parts = F.split(F.regexp_replace("file_path", "^[a-z0-9]+:(//[^/]*)?", ""), "/")  # an empty one, then folders and the file
+    below = F.array_join(F.slice(parts, above + 2, F.size(parts)), "/")
+    if names is None:
+        name = F.element_at(F.split("file_path", "/"), -2)
+    else:
+        name = F.coalesce(*[F.when(F.contains(below, F.lit(n)), F.lit(n)) for n in sorted(names, key=lambda n: (-len(n), n))], F.lit(None).cast("string"))
+    return found.withColumn("snapshot_name", name)
+
+
+def weighted(df: DataFrame, weights: dict[str, float], by: str = "snapshot_name") -> DataFrame:
+    """df with sample_weight: that of the row's name, 1 for others."""
+    weight = F.coalesce(*[F.when(F.col(by) == k, F.lit(float(w))) for k, w in weights.items()], F.lit(1.0))
+    return df.withColumn("sample_weight", weight)
+
+
 def feature_columns(df: DataFrame, technical: tuple[str, ...] = TECHNICAL) -> list[str]:
     return [c for c in df.columns if c not in technical]
 
