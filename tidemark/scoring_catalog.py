@@ -20,7 +20,7 @@ from tidemark.plans import oracle as O
 from tidemark.plans.config import EVENTS, EVENTS_SEQUENCE, ORDERS, ORDERS_SEQUENCE, SnapshotConfig
 from tidemark.sources.shared import new_path, settle
 from tidemark.sources.tables import discovered, weighted
-from tidemark.streaming import daily
+from tidemark.streaming import daily, regularity
 
 SNAPSHOTS = {"train_cutoff_2000-07-01": "2000-07-01", "train_cutoff_2000-09-29": "2000-09-29", "train_cutoff_2000-12-28": "2000-12-28"}
 
@@ -380,6 +380,20 @@ def streaming_daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{path}/out"), ("user_id", "event_date"))
 
 
+REGULAR_NAMES = [n for n, _ in regularity.columns(EVENTS.recency) if "days_since" not in n]
+
+
+def streaming_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps and streaks of the events' cutoff, kept as state of a stream; users that the stream has nothing of get zeros."""
+    source = _read(spark, sf_dir, "events")
+    path = new_path(spark, "stream")
+    with regularity.state_store(spark):
+        stream = regularity.regularity_stream(spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*"), regularity.Schedule(EVENTS.cutoff, EVENTS.recency, last=EVENTS.cutoff))
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return rounded(N.users_of(source).select(F.col("user_id").cast("long")).distinct().join(rows, "user_id", "left").selectExpr("user_id", *[f"coalesce({n}, 0) as {n}" for n in REGULAR_NAMES]))
+
+
 STREAM_SQL = _round_sql("""with d as (
     select user_id, cast(ts as date) event_date, count(*) filter (where event_type = 'view') searches, count(*) filter (where event_type = 'click') to_cart,
         count(*) filter (where event_type = 'purchase') to_ord, coalesce(sum(value) filter (where event_type = 'purchase'), 0) gmv
@@ -440,6 +454,7 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "weekly_cutoffs": (sequence_cutoffs, CUTOFFS_SQL),
         "btyd_summary": (btyd_summary, BTYD_SQL),
         "streaming_daily_panel": (streaming_daily_panel, STREAM_SQL),
+        "streaming_regularity": (streaming_regularity, O.base_sql(O.EVENTS_PANEL, EVENTS, REGULAR_NAMES)),
         "simplex_weights": (simplex_weights, None),
         "bgnbd_expected": (bgnbd_expected, None),
         "gamma_gamma_spend": (gamma_gamma_spend, None),
