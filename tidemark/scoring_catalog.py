@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Query, _read, events, orders, rounded
-from tidemark.operators import btyd, guards, models, networks, search, stacking, training
+from tidemark.operators import btyd, guards, incremental, models, networks, search, stacking, training
 from tidemark.operators import evaluation as E
 from tidemark.operators import sequence as S
 from tidemark.operators import snapshot as N
 from tidemark.plans import oracle as O
 from tidemark.plans.config import EVENTS, EVENTS_SEQUENCE, ORDERS, ORDERS_SEQUENCE, SnapshotConfig
+from tidemark.sources.panel import events_panel
 from tidemark.sources.shared import new_path, settle
 from tidemark.sources.tables import discovered, weighted
 from tidemark.streaming import daily, regularity
@@ -394,6 +395,17 @@ def streaming_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.users_of(source).select(F.col("user_id").cast("long")).distinct().join(rows, "user_id", "left").selectExpr("user_id", *[f"coalesce({n}, 0) as {n}" for n in REGULAR_NAMES]))
 
 
+def late_events_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' snapshot, finished before a third of all events came, and mended for them in two versions."""
+    rows = _read(spark, sf_dir, "events")
+    wave = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(6))
+    store = incremental.SnapshotStore(spark, new_path(spark, "versions"), EVENTS, buckets=8)
+    store.build(events_panel(rows.where(wave > 1)))
+    for late in (0, 1):
+        store.apply(events_panel(rows.where(wave == late)))
+    return rounded(store.current(), ("user_id", "cutoff_date"))
+
+
 STREAM_SQL = _round_sql("""with d as (
     select user_id, cast(ts as date) event_date, count(*) filter (where event_type = 'view') searches, count(*) filter (where event_type = 'click') to_cart,
         count(*) filter (where event_type = 'purchase') to_ord, coalesce(sum(value) filter (where event_type = 'purchase'), 0) gmv
@@ -455,6 +467,7 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "btyd_summary": (btyd_summary, BTYD_SQL),
         "streaming_daily_panel": (streaming_daily_panel, STREAM_SQL),
         "streaming_regularity": (streaming_regularity, O.base_sql(O.EVENTS_PANEL, EVENTS, REGULAR_NAMES)),
+        "late_events_snapshot": (late_events_snapshot, O.snapshot_sql(O.EVENTS_PANEL, EVENTS, N.feature_names(EVENTS))),
         "simplex_weights": (simplex_weights, None),
         "bgnbd_expected": (bgnbd_expected, None),
         "gamma_gamma_spend": (gamma_gamma_spend, None),

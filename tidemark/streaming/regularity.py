@@ -3,7 +3,8 @@
 A user's state is a map from day to the kinds of events on it: it doesn't matter in which order events come. Days older than
 the recency window before the next cutoff are dropped, and a user without days is forgotten, so a state holds at most the
 days of the window and of the lateness. An event-time timer closes a cutoff once the watermark has passed the end of its
-day, writes the user's row and sets the timer of the next. Events later than the watermark allows are dropped by Spark.
+day, writes the user's row and sets the timer of the next. Events
+later than the watermark of the batch before allows are dropped by Spark; those let in count at cutoffs that are still open.
 """
 
 from __future__ import annotations
