@@ -2,12 +2,14 @@
 
 import random
 import re
+import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, line_dedup, mixing, rules
+from tidemark.llm import catalog, licenses, line_dedup, mixing, rules
 from tidemark.llm.components import components
 
 
@@ -34,6 +36,39 @@ def test_line_dedup_keeps_the_first_of_similar_lines(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_in_usual_files(spark):
+    mit, bsd, apache = licenses.TEXTS["MIT"], licenses.TEXTS["BSD-3-Clause"], licenses.TEXTS["Apache-2.0"]
+    commented = lambda t, mark: "\n".join((mark + " " + line).rstrip() for line in t.split("\n"))
+    wrapped = lambda t: "\n".join(textwrap.fill(p, 70) for p in t.split("\n"))
+    named = bsd.replace("the copyright holder nor", "Example, Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "JANE Q. DOE").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "JANE Q. DOE OR HER HEIRS")
+    bullets = re.sub(r"(?m)^[0-9]\. ", "* ", wrapped(named))
+    docs = {
+        1: ("MIT License\n\nCopyright (c) 2020 A\n\n" + mit).replace("\n", "\r\n"),
+        2: ("Some words.\n\n" + bsd + "\n\nMore.").replace("\n", "\r\n"),
+        3: commented("MIT License\n\nCopyright (c) 2020 A\n\n" + wrapped(mit), "#"),
+        4: commented(wrapped(apache), "//") + "\nint main() {}\n",
+        5: "#!/bin/sh\n" + commented(wrapped(apache), "#") + "\nimport os\n# a note\n",
+        6: "/*\n" + commented(wrapped(mit), " *") + "\n */\nint x;",
+        7: named,
+        8: bullets,
+        9: mit.replace("\n", "\r"),
+        10: "Neither a licence nor the name of it: 1. permission 2. redistribution",
+    }
+    got = {r.doc_id: (r.whole_license, r.licenses) for r in licenses.scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", "MIT"), 2: (None, "BSD-3-Clause"), 3: ("MIT", "MIT"), 4: (None, "Apache-2.0"), 5: (None, "Apache-2.0"), 6: (None, "MIT"), 7: ("BSD-3-Clause",) * 2, 8: ("BSD-3-Clause",) * 2, 9: ("MIT", "MIT"), 10: (None, "")}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(docs.items()))
+    assert {r[0]: (r[2], r[3]) for r in con.execute(catalog.oracle_sql()["op9_license_scan"]).fetchall()} == got
+
+
+def test_licenses_that_are_known_besides(spark):
+    own = "The Example Licence\n\nYou may use this for all that is good.\n\nAnd permission ends with the day."
+    more = spark.createDataFrame([("Example-1.0", own)], "license string, text string")
+    docs = spark.createDataFrame([(1, own.upper().replace("\n", "\r\n")), (2, "x"), (None, None)], "doc_id long, text string")
+    assert {r.doc_id: r.whole_license for r in licenses.scan(docs, more).collect()} == {1: "Example-1.0", 2: None, None: None}
+
+
 def test_licenses(spark):
     mit = "Copyright (c) 2001 Someone\n\n" + licenses.TEXTS["MIT"].lower().replace(",", " ,")
     titled = "MIT License\n\nCopyright (c) 2020 A\n\n" + licenses.TEXTS["MIT"]

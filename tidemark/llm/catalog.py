@@ -96,30 +96,41 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT)}, ' ', 'g')"
+    out = f"regexp_replace(regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT)}, ' ', 'g'), {_quoted(licenses.BULLET)}, ' ', 'g')"
     for a, b in licenses.SPELLINGS:
         out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
-    return f"trim(regexp_replace({out}, {_quoted(licenses.PUNCTUATION)}, ' ', 'g'))"
+    out = f"trim(regexp_replace({out}, {_quoted(licenses.PUNCTUATION)}, ' ', 'g'))"
+    for a, b in licenses.HOLDERS:
+        out = f"regexp_replace({out}, {_quoted(a)}, {_quoted(b)}, 'g')"
+    return out
 
 
 def op9_sql() -> str:
-    """No filter by trigger words: every text and unit is brought to its canonical form."""
+    """No filter by trigger words. Paragraphs are runs of lines of one kind, counted by a window over the lines, and runs of them as long as the text is."""
     values = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in licenses.notices())
-    runs = " union ".join(f"select doc_id, array_to_string(list_slice(parts, i, i + {n - 1}), ' ') unit from parts, range(1, {10_000}) r(i) where i <= len(parts) - {n - 1}" for n in (1, *licenses.LENGTHS))
-    smaller = " union ".join(f"select doc_id, {_canonical_sql('unit')} unit from (select doc_id, unnest(regexp_split_to_array(text, {_quoted(sep)})) unit from base)" for sep in licenses.UNITS)
+    runs = " union ".join(f"select rid, doc_id, array_to_string(list_slice(parts, i, i + {n - 1}), ' ') unit from (select rid, doc_id, parts, unnest(range(1, len(parts) - {n - 2})) i from parts)" for n in (1, *licenses.LENGTHS))
+    smaller = " union ".join(f"select rid, doc_id, {_canonical_sql('unit')} unit from (select rid, doc_id, unnest(regexp_split_to_array(text, {_quoted(sep)})) unit from base)" for sep in licenses.UNITS)
     return f"""
 with known as (
     select md5({_canonical_sql("text")}) digest, min(license) license from (values {values}) v(license, text) group by 1
 ),
-base as (select doc_id, coalesce(text, '') text from documents),
-parts as (select doc_id, regexp_matches(text, {_quoted(licenses.TRIGGER)}) near, list_filter(list_transform(regexp_split_to_array(text, {_quoted(licenses.PARAGRAPH)}), lambda p: {_canonical_sql("p")}), lambda p: p <> '') parts from base),
-whole as (select doc_id, near, md5(array_to_string(parts, ' ')) text_digest, md5(array_to_string(list_slice(parts, 2, len(parts)), ' ')) body from parts),
-units as (select doc_id, md5(array_to_string(parts, ' ')) digest from parts union select doc_id, body from whole union select doc_id, md5(unit) from ({runs} union {smaller})),
-hits as (select u.doc_id, u.digest, k.license from units u join known k using (digest))
+base as materialized (select row_number() over () rid, doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) text from documents),
+lines as (select rid, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from base),
+kinds as (select *, case when starts_with(line, '#!') or not regexp_matches(line, '[\\p{{L}}\\p{{N}}]') then 0 when regexp_matches(line, {_quoted("^" + licenses.MARK)}) then 2 else 1 end kind from lines),
+turns as (select *, case when kind is distinct from lag(kind) over (partition by rid order by i) then 1 else 0 end turn from kinds),
+places as (select *, sum(turn) over (partition by rid order by i) place from turns),
+paragraphs as (select rid, place, string_agg(line, chr(10) order by i) unit from places where kind > 0 group by rid, place),
+parts as materialized (
+    select rid, doc_id, regexp_matches(text, {_quoted(licenses.TRIGGER)}) near, coalesce(parts, []) parts
+    from base left join (select rid, list_filter(list({_canonical_sql("unit")} order by place), lambda p: p <> '') parts from paragraphs group by rid) using (rid)
+),
+whole as (select rid, doc_id, near, md5(array_to_string(parts, ' ')) text_digest, md5(array_to_string(list_slice(parts, 2, len(parts)), ' ')) body from parts),
+units as (select rid, doc_id, text_digest digest from whole union select rid, doc_id, body from whole union select rid, doc_id, md5(unit) from ({runs} union {smaller})),
+hits as (select u.rid, u.doc_id, u.digest, k.license from units u join known k using (digest))
 select w.doc_id, case when w.near then w.text_digest end text_digest,
     coalesce(min(case when h.digest = w.text_digest then h.license end), min(case when h.digest = w.body then h.license end)) whole_license,
     coalesce(string_agg(distinct h.license, ',' order by h.license), '') licenses, count(h.license) n_units
-from whole w left join hits h using (doc_id) group by w.doc_id, w.near, w.text_digest
+from whole w left join hits h using (rid) group by w.rid, w.doc_id, w.near, w.text_digest
 """
 
 

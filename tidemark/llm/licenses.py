@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let
+from tidemark.llm.common import let, settle, small
 
 #: Short licences in full.
 TEXTS = {
@@ -105,6 +105,16 @@ COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\
 TRIGGER = r"(?i)licen[cs]|released|distributed|permission|redistribution"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 PARAGRAPH = r"\n[ \t]*\n\s*"
+#: What a line of a comment begins with; block comments need no mark, since lines of punctuation alone are blank.
+MARK = r"[ \t]*(?:#|//|;|--|%)"
+#: Numbers and letters of list items at the start of a line, in lower case.
+BULLET = r"(?m)^[^a-z0-9\n]*(?:[0-9]{1,2}|[a-h])[.)][ \t]+"
+#: Places where texts name a holder, in canonical form, and what stands there instead.
+HOLDERS = (
+    ("neither the names? of .{1,160}? nor the names of (?:its|their|any|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("software is provided by .{1,160}? as is", "software is provided by the copyright holders and contributors as is"),
+    ("in no event shall .{1,160}? be liable", "in no event shall the authors or copyright holders be liable"),
+)
 #: Smaller units that are looked up: the separators that a text is split at.
 UNITS = (r"\n", r"[.!?][ \t\n]+")
 #: Paragraphs (of more than copyright lines) in the known texts.
@@ -112,9 +122,17 @@ LENGTHS = sorted({len(re.split(PARAGRAPH, text)) for text in TEXTS.values()} - {
 
 
 def canonical(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT), F.lit(" "))
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), F.lit(COPYRIGHT), F.lit(" ")), F.lit(BULLET), F.lit(" "))
     text = reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), SPELLINGS, text)
-    return F.trim(F.regexp_replace(text, F.lit(PUNCTUATION), F.lit(" ")))
+    text = F.trim(F.regexp_replace(text, F.lit(PUNCTUATION), F.lit(" ")))
+    return reduce(lambda t, h: F.regexp_replace(t, F.lit(h[0]), F.lit(h[1])), HOLDERS, text)
+
+
+def unwrapped(text: Column) -> Column:
+    """The text with a blank line wherever a paragraph ends: lines of punctuation alone and those that name an interpreter are blank, and comments and other lines stand apart."""
+    text = F.regexp_replace(text, F.lit(r"(?md)^(?:[^\p{L}\p{N}\n]+|#![^\n]*)$"), F.lit(""))
+    text = F.regexp_replace(text, F.lit(rf"(?md)^({MARK}[^\n]*)\n(?!{MARK})"), F.lit("$1\n\n"))
+    return F.regexp_replace(text, F.lit(rf"(?md)^((?!{MARK})[^\n]+)\n(?={MARK})"), F.lit("$1\n\n"))
 
 
 def notices() -> list[tuple[str, str]]:
@@ -122,9 +140,10 @@ def notices() -> list[tuple[str, str]]:
     return [*TEXTS.items(), *((k, p.format(n)) for k, names in NAMES.items() for n in names for p in PHRASES)]
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """license, digest of all known texts and notices; their number is fixed by the tables above."""
-    return spark.createDataFrame(notices(), "license string, text string").select("license", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """license, digest of all known texts and notices, and of more (license, text): texts that are known besides, as long as one likes."""
+    texts = spark.createDataFrame(notices(), "license string, text string")
+    return (texts if more is None else texts.unionByName(more.select("license", "text"))).select("license", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def _runs(parts: Column) -> Column:
@@ -137,15 +156,18 @@ def _runs(parts: Column) -> Column:
     return F.concat(parts, *[of(n) for n in LENGTHS])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, whole_license, licenses, n_units for each row of (doc_id, text).
 
     text_digest: md5 of the whole canonical text where a licence is in reach (the trigger words), else null. whole_license:
     the licence that the whole text is, or all but its first paragraph. licenses: all that the text, a run of its paragraphs, a
     line or a sentence of it is, sorted and joined by commas; empty if none. n_units: how many distinct units are licences.
+    A paragraph ends at a blank line, at a line of punctuation alone and where a comment begins or ends; lines may end as on any system,
+    list items may be numbered or not, and whoever is named as holder is passed over. more (license, text) are further texts
+    to find, as wholes or without their first paragraph; they are broadcast as digests up to MOST_BROADCAST.
     Null and empty texts have none; rows that repeat a doc_id are scanned each. An empty table gives an empty one.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long"), F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\r\n?"), F.lit("\n")).alias("text"))
 
     def found(parts: Column) -> Column:
         smaller = [F.transform(F.filter(F.split("text", sep), lambda u: u.rlike(TRIGGER)), lambda u: F.md5(canonical(u))) for sep in UNITS]
@@ -155,10 +177,11 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.struct(whole.alias("whole"), F.md5(body).alias("body"), units.alias("digests"))
 
     # digests in the row, so nothing but the few hits is shuffled or joined
-    parts = F.filter(F.transform(F.split("text", PARAGRAPH), canonical), lambda u: u != "")
+    parts = F.filter(F.transform(F.split(unwrapped(F.col("text")), PARAGRAPH), canonical), lambda u: u != "")
     held = base.select("doc_id", F.when(F.col("text").rlike(TRIGGER), let(parts, found)).alias("f"), F.monotonically_increasing_id().alias("_row"))
     hits = held.select("doc_id", "_row", F.col("f.whole").alias("text_digest"), F.col("f.body").alias("body"), F.explode_outer("f.digests").alias("digest"))
-    hits = hits.join(F.broadcast(known(docs.sparkSession)), "digest", "left")
+    digests = known(docs.sparkSession, more)
+    hits = hits.join(F.broadcast(digests) if more is None else small(settle(digests, "known")), "digest", "left")
     whole = [F.min(F.when(F.col("digest") == F.col(c), F.col("license"))) for c in ("text_digest", "body")]
     return hits.groupBy("_row", "doc_id", "text_digest").agg(
         F.coalesce(*whole).alias("whole_license"),
