@@ -358,7 +358,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
 
     Words are runs of characters that aren't ASCII white space, in lower case for A-Z. Null and empty texts, and texts
     without words, have the empty set: they are linked with nothing. Rows that repeat a doc_id are one document if their
-    texts have equal sets, and are linked apart otherwise. Rows without a doc_id are linked with nothing and have no
+    texts have equal sets; with other texts they are linked through it where it is the smallest doc_id of either set, and apart otherwise. Rows without a doc_id are linked with nothing and have no
     component_id. An empty table gives an empty one. Sets are compared by
     48 bits of the shingles' hashes; they connect all similar classes, but a family of near copies gets a spanning set of links only.
     """
