@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import snapshot as N
 from tidemark.plans.config import ORDERS, SnapshotConfig
@@ -103,4 +102,3 @@ def test_narrowed_and_cutoffs(spark):
     df = N.narrowed(spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 1.5)], "user_id long, x double"))
     assert [r.x for r in df.orderBy("user_id").collect()] == [0, 0, 1.5] and dict(df.dtypes)["x"] == "float"
     assert N.cutoffs("2025-08-17", "2025-08-31", last="2025-09-02") == ["2025-08-17", "2025-08-24", "2025-08-31", "2025-09-02"]
-    assert F is not None
