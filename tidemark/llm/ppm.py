@@ -164,7 +164,9 @@ def _asked(blocks: DataFrame, order: int) -> DataFrame:
                 for lo in range(0, len(g), WINDOW):
                     yield pd.DataFrame({"block": r.block, "gram": g[lo : lo + WINDOW], "word": None, "n": n[lo : lo + WINDOW]})
                 found = sorted(_words(texts, held).items())
-                yield pd.DataFrame({"block": r.block, "gram": NO_GRAM, "word": [w for w, _ in found], "n": [n for _, n in found]})
+                for lo in range(0, len(found), WINDOW >> 2):
+                    part = found[lo : lo + (WINDOW >> 2)]
+                    yield pd.DataFrame({"block": r.block, "gram": NO_GRAM, "word": [w for w, _ in part], "n": [n for _, n in part]})
 
     return blocks.mapInPandas(run, ASKED)
 
@@ -234,17 +236,19 @@ def _scored(blocks: DataFrame, answered: DataFrame, order: int, train_tokens: in
         of_grams = (answers["gram"] != NO_GRAM).to_numpy()
         known = pd.Index(answers["gram"].to_numpy()[of_grams])
         cost = answers["value"].to_numpy()[of_grams]
+        of_words = answers[~of_grams]
+        del answers, of_grams
         counts = _words(texts, held)
-        counts.update(dict(zip(answers["word"][~of_grams], (answers["value"] - answers["own"])[~of_grams].tolist(), strict=True)))
-        weight = {n: log10((n + ADDED) / bottom) for n in set(counts.values())}
+        counts.update(dict(zip(of_words["word"], (of_words["value"] - of_words["own"]).tolist(), strict=True)))
+        count, weight = dict(counts).__getitem__, {n: log10((n + ADDED) / bottom) for n in set(counts.values())}.__getitem__
         total, tokens = [], []
         for _, run in windows(texts):
             each = cost[known.get_indexer(grams(run, order))]
             total.append(np.add.reduceat(each, np.cumsum([0] + [len(t) + 1 for t in run[:-1]])))
         for text in texts:
-            own = [counts[w] for w in text.split()]
+            own = list(map(count, text.split()))
             own.append(counts[b""])
-            tokens.append((len(own), len(own) - own.count(0), fsum(weight[n] for n in own)))
+            tokens.append((len(own), len(own) - own.count(0), fsum(map(weight, own))))
         found = pd.DataFrame(tokens, columns=["n_tokens", "n_known", "base_score"])
         return found.assign(doc_id=longs(r.ids, r.ids_there), held_out=held, train_tokens=train_tokens, score=np.concatenate(total) / UNIT)
 
