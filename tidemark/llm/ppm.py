@@ -37,9 +37,9 @@ BITS = 9
 EDGE = 256
 SYMBOLS = 257
 #: Bytes of text in a block; a block has at least one text, whole.
-BLOCK = 32 << 20
+BLOCK = 24 << 20
 #: Bytes of texts whose grams are made at a time; a longer text is taken whole.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 #: Costs are in units of 1 / UNIT.
 UNIT = 10**9
 #: Stands for the gram in rows of words, since a null would turn grams into doubles in Arrow batches.
@@ -145,7 +145,7 @@ def _counted(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarr
     for lo, run in windows(texts):
         waiting.append((grams(run, order), np.repeat(1.0 - held[lo : lo + len(run)], [len(t) + 1 for t in run])))
         size += len(waiting[-1][0])
-        if size > 2 * len(kinds) + WINDOW:  # so that a gram is merged few times
+        if size > len(kinds) + 4 * WINDOW:  # so that a gram is merged few times
             (kinds, counts), size = merged(), 0
             waiting.clear()
     kinds, counts = merged()
@@ -164,8 +164,8 @@ def _asked(blocks: DataFrame, order: int) -> DataFrame:
                 for lo in range(0, len(g), WINDOW):
                     yield pd.DataFrame({"block": r.block, "gram": g[lo : lo + WINDOW], "word": None, "n": n[lo : lo + WINDOW]})
                 found = sorted(_words(texts, held).items())
-                for lo in range(0, len(found), WINDOW >> 2):
-                    part = found[lo : lo + (WINDOW >> 2)]
+                for lo in range(0, len(found), WINDOW):
+                    part = found[lo : lo + WINDOW]
                     yield pd.DataFrame({"block": r.block, "gram": NO_GRAM, "word": [w for w, _ in part], "n": [n for _, n in part]})
 
     return blocks.mapInPandas(run, ASKED)
@@ -240,7 +240,7 @@ def _scored(blocks: DataFrame, answered: DataFrame, order: int, train_tokens: in
         del answers, of_grams
         counts = _words(texts, held)
         counts.update(dict(zip(of_words["word"], (of_words["value"] - of_words["own"]).tolist(), strict=True)))
-        count, weight = dict(counts).__getitem__, {n: log10((n + ADDED) / bottom) for n in set(counts.values())}.__getitem__
+        count, weight = counts.__getitem__, {n: log10((n + ADDED) / bottom) for n in set(counts.values())}.__getitem__
         total, tokens = [], []
         for _, run in windows(texts):
             each = cost[known.get_indexer(grams(run, order))]
