@@ -167,6 +167,7 @@ def _asked(blocks: DataFrame, order: int) -> DataFrame:
                 for lo in range(0, len(found), WINDOW):
                     part = found[lo : lo + WINDOW]
                     yield pd.DataFrame({"block": r.block, "gram": NO_GRAM, "word": [w for w, _ in part], "n": [n for _, n in part]})
+                pa.default_memory_pool().release_unused()  # workers are kept for later tasks
 
     return blocks.mapInPandas(run, ASKED)
 
@@ -249,6 +250,7 @@ def _scored(blocks: DataFrame, answered: DataFrame, order: int, train_tokens: in
             own = list(map(count, text.split()))
             own.append(counts[b""])
             tokens.append((len(own), len(own) - own.count(0), fsum(map(weight, own))))
+        pa.default_memory_pool().release_unused()  # workers are kept for later tasks
         found = pd.DataFrame(tokens, columns=["n_tokens", "n_known", "base_score"])
         return found.assign(doc_id=longs(r.ids, r.ids_there), held_out=held, train_tokens=train_tokens, score=np.concatenate(total) / UNIT)
 
