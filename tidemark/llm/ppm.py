@@ -18,13 +18,13 @@ joins, and each block gets the costs of its own grams back. Costs are whole numb
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from math import fsum, log10
+from math import fsum
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,63 +113,88 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInPandas(run, BLOCKS)
 
 
-def _texts(r) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(r.sizes, "<i8")).tolist()
-    data = pa.decompress(r.texts, ends[-1], codec="zstd", asbytes=True)
+def _texts(r: dict) -> list[memoryview]:
+    ends = np.cumsum(np.frombuffer(r["sizes"], "<i8")).tolist()
+    data = memoryview(pa.decompress(r["texts"], ends[-1], codec="zstd", asbytes=True))
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _held(r) -> np.ndarray:
-    return np.frombuffer(r.held, "u1").astype(bool)
+def _held(r: dict) -> np.ndarray:
+    return np.frombuffer(r["held"], "u1").astype(bool)
 
 
-def _words(texts: list[bytes], held: np.ndarray) -> Counter:
-    """How often each word of the texts stands in those that are learned from; 0 for those of others alone. A text's end is the empty word."""
-    learned = Counter({b"": int((~held).sum())})
-    others: set = set()
-    for text, out in zip(texts, held.tolist(), strict=True):
-        (others if out else learned).update(text.split())
-    for w in others - learned.keys():
-        learned[w] = 0
-    return learned
+def _words(texts: list[memoryview], held: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the texts and how often each stands in those that are learned from; the words of all texts, as places among these, and how many each text has.
 
-
-def _counted(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    The last of the distinct words is the empty one, which stands for the end of a text and isn't among the words of all texts.
+    """
+    starts = np.cumsum([0, *map(len, texts)]).astype("<i8")
+    data = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(starts), pa.py_buffer(b"".join(texts))])
+    lists = pc.ascii_split_whitespace(data)
+    code = lists.flatten().dictionary_encode()
+    distinct = code.dictionary.cast(pa.large_binary())
+    sizes = pc.list_value_length(lists).to_numpy()
+    at = code.indices.to_numpy()
+    del data, lists, code
+    real = pc.binary_length(distinct).to_numpy() > 0  # white space before or after the words leaves an empty one
+    place = np.where(real, np.cumsum(real) - 1, -1).astype(np.int32)
+    at = place[at]
+    of_text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[at >= 0]
+    at = at[at >= 0]
+    distinct = pa.concat_arrays([distinct.filter(pa.array(real)), pa.array([b""], pa.large_binary())])
+    n = np.bincount(at[~held[of_text]], minlength=len(distinct))
+    n[-1] = (~held).sum()
+    return distinct, n, at, np.bincount(of_text, minlength=len(texts))
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal ones begins in sorted keys."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+
+
+def _counted(texts: list[memoryview], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of the texts in order, and how often each stands in those that are learned from."""
-    kinds, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0), [], 0
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        code, distinct = pd.factorize(np.concatenate([kinds, *(g for g, _ in waiting)]))
-        return distinct, np.bincount(code, np.concatenate([counts, *(n for _, n in waiting)]), len(distinct))
+    def merge() -> None:
+        kinds, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = np.argsort(kinds, kind="stable")  # sorted runs are merged
+        kinds, counts = kinds[at], counts[at]
+        first = _runs(kinds)
+        found[:] = [(kinds[first], np.add.reduceat(counts, first) if len(first) else counts)]
 
     for lo, run in windows(texts):
-        waiting.append((grams(run, order), np.repeat(1.0 - held[lo : lo + len(run)], [len(t) + 1 for t in run])))
-        size += len(waiting[-1][0])
-        if size > len(kinds) + 4 * WINDOW:  # so that a gram is merged few times
-            (kinds, counts), size = merged(), 0
-            waiting.clear()
-    kinds, counts = merged()
-    at = np.argsort(kinds)
-    return kinds[at], counts[at].astype(np.int64)
+        learned = np.repeat(~held[lo : lo + len(run)], [len(t) + 1 for t in run])
+        keys = np.sort(grams(run, order) << 1 | learned)
+        first = _runs(keys >> 1)
+        found.append((keys[first] >> 1, np.add.reduceat(keys & 1, first)))
+        if sum(len(k) for k, _ in found[1:]) > len(found[0][0]) + 4 * WINDOW:  # so that a gram is merged few times
+            merge()
+    merge()
+    return found[0]
 
 
 def _asked(blocks: DataFrame, order: int) -> DataFrame:
     """By block, each distinct gram and word, with its count in the texts that are learned from (0 where only others have it)."""
+    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
+            for r in batch.to_pylist():
                 texts, held = _texts(r), _held(r)
                 g, n = _counted(texts, held, order)
                 for lo in range(0, len(g), WINDOW):
-                    yield pd.DataFrame({"block": r.block, "gram": g[lo : lo + WINDOW], "word": None, "n": n[lo : lo + WINDOW]})
-                found = sorted(_words(texts, held).items())
-                for lo in range(0, len(found), WINDOW):
-                    part = found[lo : lo + WINDOW]
-                    yield pd.DataFrame({"block": r.block, "gram": NO_GRAM, "word": [w for w, _ in part], "n": [n for _, n in part]})
+                    part = g[lo : lo + WINDOW]
+                    yield pa.record_batch([np.full(len(part), r["block"]), part, pa.nulls(len(part), pa.binary()), n[lo : lo + WINDOW]], schema=schema)
+                del g, n
+                words, n = _words(texts, held)[:2]
+                for lo in range(0, len(words), WINDOW):
+                    part = words[lo : lo + WINDOW].cast(pa.binary())
+                    yield pa.record_batch([np.full(len(part), r["block"]), np.full(len(part), NO_GRAM), part, n[lo : lo + WINDOW]], schema=schema)
+                del texts, words, n
                 pa.default_memory_pool().release_unused()  # workers are kept for later tasks
 
-    return blocks.mapInPandas(run, ASKED)
+    return blocks.mapInArrow(run, ASKED)
 
 
 def _low(gram: Column, symbols: Column) -> Column:
@@ -231,31 +256,36 @@ def _scored(blocks: DataFrame, answered: DataFrame, order: int, train_tokens: in
     """The rows of all blocks with their scores; answered has by block the cost of each gram, and the count of each word that other blocks have too."""
     bottom = train_tokens + ADDED * (kinds + 1)
 
-    def score(key: tuple, block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        (r,) = block.itertuples(index=False)
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        (r,) = block.to_pylist()
         texts, held = _texts(r), _held(r)
-        of_grams = (answers["gram"] != NO_GRAM).to_numpy()
-        known = pd.Index(answers["gram"].to_numpy()[of_grams])
-        cost = answers["value"].to_numpy()[of_grams]
-        of_words = answers[~of_grams]
+        of_grams = pc.not_equal(answers["gram"], NO_GRAM)
+        told = answers.filter(pc.invert(of_grams))
+        answers = answers.select(["gram", "value"]).filter(of_grams)
+        known, cost = answers["gram"].to_numpy(), answers["value"].to_numpy()
         del answers, of_grams
-        counts = _words(texts, held)
-        counts.update(dict(zip(of_words["word"], (of_words["value"] - of_words["own"]).tolist(), strict=True)))
-        count, weight = counts.__getitem__, {n: log10((n + ADDED) / bottom) for n in set(counts.values())}.__getitem__
-        total, tokens = [], []
+        known, total = pd.Index(known), []
         for _, run in windows(texts):
             each = cost[known.get_indexer(grams(run, order))]
             total.append(np.add.reduceat(each, np.cumsum([0] + [len(t) + 1 for t in run[:-1]])))
-        for text in texts:
-            own = list(map(count, text.split()))
-            own.append(counts[b""])
-            tokens.append((len(own), len(own) - own.count(0), fsum(map(weight, own))))
+        del known, cost
+        words, count, at, sizes = _words(texts, held)
+        place = pc.index_in(told["word"].cast(pa.large_binary()), value_set=words).to_numpy()
+        count[place] += told["value"].to_numpy() - told["own"].to_numpy()
+        weight = np.log10((count + ADDED) / bottom)
+        seen = np.concatenate([[0], np.cumsum(count[at] > 0)])
+        ends = np.cumsum(sizes)
+        of_word, last = weight[at], float(weight[-1])
+        base = [fsum([*of_word[a:b].tolist(), last]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        out = {
+            "doc_id": pa.array(longs(r["ids"], r["ids_there"]), pa.int64()), "held_out": held, "n_tokens": sizes + 1, "n_known": seen[ends] - seen[ends - sizes] + int(count[-1] > 0),
+            "train_tokens": np.full(len(texts), train_tokens), "base_score": base, "score": np.concatenate(total) / UNIT,
+        }
         pa.default_memory_pool().release_unused()  # workers are kept for later tasks
-        found = pd.DataFrame(tokens, columns=["n_tokens", "n_known", "base_score"])
-        return found.assign(doc_id=longs(r.ids, r.ids_there), held_out=held, train_tokens=train_tokens, score=np.concatenate(total) / UNIT)
+        return pa.table(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(score, schema)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, most: int = BLOCK) -> DataFrame:
