@@ -117,8 +117,8 @@ def fit_bgnbd(rows: DataFrame, penalty: float = 0.01) -> tuple[float, float, flo
 
 
 def fit_gamma_gamma(rows: DataFrame, penalty: float = 0.01) -> tuple[float, float, float]:
-    """p, q, v. rows: frequency, monetary_value; those of users with repeat purchases count."""
-    own = rows.where("frequency > 0 and monetary_value > 0").groupBy("frequency", F.greatest(F.lit(1.0), F.round("monetary_value", 0)).alias("m")).agg(F.count("*").alias("n")).persist()
+    """p, q, v. rows: frequency, monetary_value; those of users with repeat purchases count, with their money as it is, in whatever unit."""
+    own = rows.where("frequency > 0 and monetary_value > 0").groupBy("frequency", F.col("monetary_value").alias("m")).agg(F.count("*").alias("n")).persist()
     unit = float(own.agg(F.sum(F.col("m") * F.col("n")) / F.sum("n")).first()[0])
     p, q, v = np.exp(_climb(_scores(own.select("frequency", (F.col("m") / unit).alias("m"), "n"), ("frequency", "m"), _gamma_gamma_each, penalty), np.zeros(3)))
     own.unpersist()

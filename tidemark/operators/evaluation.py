@@ -9,8 +9,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.functions.expr import logit, sigmoid
@@ -212,24 +214,63 @@ def two_model_grid(df: DataFrame, first: str, second: str, points: int = 101) ->
     return out.select("alpha", F.sqrt(F.greatest(F.lit(0.0), w * w * F.col("aa") + 2 * w * (1 - w) * F.col("ab") + (1 - w) * (1 - w) * F.col("bb"))).alias("rmsle"))
 
 
+def _simplex(gram: np.ndarray) -> np.ndarray:
+    """Non-negative w with sum 1 and the least w' gram w; of equal ones (to 1e-9) that of the fewest models, the first of these."""
+    found = []
+    for size in range(1, len(gram) + 1):
+        for support in combinations(range(len(gram)), size):
+            g = gram[np.ix_(support, support)]
+            w = np.linalg.lstsq(np.block([[g, np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]]), np.append(np.zeros(size), 1.0), rcond=None)[0][:size]
+            if (w >= -1e-12).all():
+                whole = np.zeros(len(gram))
+                whole[list(support)] = np.maximum(w, 0)
+                found.append((w @ g @ w, whole / whole.sum()))
+    least = min(value for value, _ in found)
+    return next(w for value, w in found if value <= least + 1e-9)
+
+
+def _gram(df: DataFrame, models: list[str], *by: str) -> DataFrame:
+    """By key, n and the mean products of the errors of all pairs of models; rows that lack the target or a model are left out."""
+    errors = [F.log1p("target") - F.col(m) for m in models]
+    return df.dropna(subset=["target", *models]).groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(a * b) for a in errors for b in errors]).alias("gram"))
+
+
 def simplex_weights(df: DataFrame, models: list[str]) -> dict[str, float]:
     """Non-negative weights that sum to 1 with the least squared error to log1p(target): an exact quadratic program.
 
     One aggregation gives the Gram matrix of the errors; its size is the number of models, so the driver tries the supports.
+    Without rows all models weigh the same.
     """
-    errors = {m: F.log1p("target") - F.col(m) for m in models}
-    row = df.agg(*[F.avg(errors[a] * errors[b]).alias(f"{a}|{b}") for a in models for b in models]).first()
-    gram = np.array([[row[f"{a}|{b}"] for b in models] for a in models])
-    best, found = np.inf, np.zeros(len(models))
-    for size in range(1, len(models) + 1):
-        for support in combinations(range(len(models)), size):
-            g = gram[np.ix_(support, support)]
-            w = np.linalg.lstsq(np.block([[g, np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]]), np.append(np.zeros(size), 1.0), rcond=None)[0][:size]
-            value = w @ g @ w
-            if (w >= -1e-12).all() and value < best - 1e-15:
-                best, found = value, np.zeros(len(models))
-                found[list(support)] = np.maximum(w, 0)
-    return {m: float(w) for m, w in zip(models, found / found.sum(), strict=True)}
+    row = _gram(df, models).first()
+    k = len(models)
+    found = _simplex(np.array(row["gram"]).reshape(k, k)) if row["n"] else np.full(k, 1 / k)
+    return {m: float(w) for m, w in zip(models, found, strict=True)}
+
+
+def segment_weights(df: DataFrame, models: list[str], by: str = "segment", least: int = 200) -> DataFrame:
+    """by, n and a weight_ column for each model: the best convex blend in log space within each segment; a null segment is one too.
+
+    Segments with fewer than least rows take the weights over all rows. Rows meet as one Gram matrix by segment, from partial
+    sums; each is solved where it lies, so there may be many segments.
+    """
+    k, names = len(models), [f"weight_{m}" for m in models]
+    overall = list(simplex_weights(df, models).values())
+
+    def solve(batches):
+        for b in batches:
+            w = [_simplex(np.reshape(g, (k, k))) if n >= least else overall for g, n in zip(b["gram"], b["n"], strict=True)]
+            yield b[[by, "n"]].join(pd.DataFrame(np.reshape(w, (len(b), k)), columns=names, index=b.index))
+
+    schema = StructType([df.schema[by], StructField("n", LongType()), *[StructField(n, DoubleType()) for n in names]])
+    return _gram(df, models, by).mapInPandas(solve, schema)
+
+
+def segment_blend(df: DataFrame, weights: DataFrame, overall: dict[str, float], by: str = "segment", name: str = "blend_log") -> DataFrame:
+    """df with the log prediction that the weights of its row's segment give; rows of a segment without weights take the overall ones."""
+    known = weights.select(F.col(by).alias("_segment"), F.struct(*[f"weight_{m}" for m in overall]).alias("_weights"))
+    met = df.join(known, df[by].eqNullSafe(known["_segment"]), "left")
+    blend = sum((F.col(m) * F.coalesce(F.col(f"_weights.weight_{m}"), F.lit(w)) for m, w in overall.items()), F.lit(0.0))
+    return met.withColumn(name, blend).drop("_segment", "_weights")
 
 
 def log_blend(df: DataFrame, specs: dict[str, dict[str, float]], scale: float = 1.0) -> DataFrame:

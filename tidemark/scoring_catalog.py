@@ -269,10 +269,66 @@ CALIBRATION_SQL = _round_sql(BASE_SQL + ",\nr as (select regr_slope(target_log,
 REPORT_SQL = _round_sql(PREDICTIONS_SQL + ",\nr as (select count(*) n_rows, count(distinct (user_id, snapshot_name)) n_keys, count(*) filter (where probability is null) n_null, count(*) filter (where isnan(probability)) n_nan, count(*) filter (where probability < 0) n_negative from pred)", ["n_rows", "n_keys", "n_null", "n_nan", "n_negative"], "r")
 
 
+def _logs(p: DataFrame) -> DataFrame:
+    segment = F.when(F.col("orders_270") == 0, "never").when(F.col("new") > 0, "0_30").when(F.col("orders_90") > 0, "31_90").otherwise("91_plus")
+    return p.select("snapshot_name", segment.alias("segment"), "target", *[F.log1p(m).alias(m) for m in MODELS])
+
+
 def simplex_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, weight: the best convex blend in log space."""
-    p = predictions(spark, sf_dir).select("target", *[F.log1p(m).alias(m) for m in MODELS])
-    return spark.createDataFrame(list(E.simplex_weights(p, MODELS).items()), "model string, weight double")
+    found = E.simplex_weights(_logs(predictions(spark, sf_dir)), MODELS)
+    return rounded(spark.createDataFrame(list(found.items()), "model string, weight double"), ("model",))
+
+
+def segment_weights(p: DataFrame) -> DataFrame:
+    """The blend of each segment, fitted on all snapshots but the last."""
+    return E.segment_weights(_logs(p).where(F.col("snapshot_name") != LAST), MODELS, least=LEAST_ROWS)
+
+
+def segment_blend_scores(p: DataFrame) -> DataFrame:
+    """By segment of the last snapshot, the error of one blend for all and of the segments' own ones; both are fitted on the others."""
+    logs = _logs(p)
+    others, last = logs.where(F.col("snapshot_name") != LAST), logs.where(F.col("snapshot_name") == LAST)
+    overall = E.simplex_weights(others, MODELS)
+    blended = E.segment_blend(last, E.segment_weights(others, MODELS, least=LEAST_ROWS), overall).withColumn("all_log", sum((F.col(m) * w for m, w in overall.items()), F.lit(0.0)))
+    return blended.groupBy("segment").agg(F.count("*").alias("n"), E.rmsle(F.col("target"), F.col("all_log")).alias("rmsle_overall"), E.rmsle(F.col("target"), F.col("blend_log")).alias("rmsle_segments"))
+
+
+LAST, LEAST_ROWS = list(SNAPSHOTS)[-1], 200
+LOGS_SQL = PREDICTIONS_SQL + f""",
+logs as (select snapshot_name, case when orders_270 = 0 then 'never' when new > 0 then '0_30' when orders_90 > 0 then '31_90' else '91_plus' end segment,
+  ln(1 + target) t, {", ".join(f"ln(1 + {m}) m{i}" for i, m in enumerate(MODELS))} from pred),
+errs as (select *, t - m0 x, t - m1 y, t - m2 z from logs)"""
+
+
+def _weights_sql(name: str, source: str, key: str) -> str:
+    """A table of the least convex combination of three models by key: every side of the triangle, then its inside by Cramer's rule."""
+    return f""",
+{name}_g as (select {key} k, count(*) n, avg(x * x) a, avg(x * y) b, avg(x * z) c, avg(y * y) d, avg(y * z) e, avg(z * z) f from {source} group by 1),
+{name}_i as (select *, d*f - e*e + c*e - b*f + b*e - c*d p, c*e - b*f + a*f - c*c + b*c - a*e q, b*e - c*d + b*c - a*e + a*d - b*b r from {name}_g),
+{name}_c as (
+  select *, 1 o, 1e0 w0, 0e0 w1, 0e0 w2 from {name}_i union all select *, 2, 0, 1, 0 from {name}_i union all select *, 3, 0, 0, 1 from {name}_i
+  union all select *, 4, (d - b) / nullif(a + d - 2*b, 0), (a - b) / nullif(a + d - 2*b, 0), 0 from {name}_i
+  union all select *, 5, (f - c) / nullif(a + f - 2*c, 0), 0, (a - c) / nullif(a + f - 2*c, 0) from {name}_i
+  union all select *, 6, 0, (f - e) / nullif(d + f - 2*e, 0), (d - e) / nullif(d + f - 2*e, 0) from {name}_i
+  union all select *, 7, p / nullif(p + q + r, 0), q / nullif(p + q + r, 0), r / nullif(p + q + r, 0) from {name}_i),
+{name}_v as (select *, w0*w0*a + w1*w1*d + w2*w2*f + 2*(w0*w1*b + w0*w2*c + w1*w2*e) v from {name}_c where w0 >= 0 and w1 >= 0 and w2 >= 0),
+{name}_m as (select k, min(v) least_v from {name}_v group by 1),
+{name} as (select v.k, any_value(n) n, arg_min(w0, o) w0, arg_min(w1, o) w1, arg_min(w2, o) w2 from {name}_v v join {name}_m m on v.k = m.k where v <= least_v + 1e-9 group by 1)"""
+
+
+SIMPLEX_SQL = _round_sql(LOGS_SQL + _weights_sql("w", "errs", "0") + ",\nr as (" + " union all ".join(f"select '{m}' model, w{i} weight from w" for i, m in enumerate(MODELS)) + ")", ["weight"], "r", ("model",))
+FITTED_SQL = LOGS_SQL + f",\nothers as (select * from errs where snapshot_name <> '{LAST}')" + _weights_sql("one", "others", "0") + _weights_sql("own", "others", "segment")
+FITTED_SQL += f",\nfitted as (select own.k segment, own.n, {', '.join(f'case when own.n >= {LEAST_ROWS} then own.w{i} else one.w{i} end weight_{m}' for i, m in enumerate(MODELS))} from own, one)"
+SEGMENT_WEIGHTS_SQL = _round_sql(FITTED_SQL, ["n", *[f"weight_{m}" for m in MODELS]], "fitted", ("segment",))
+SEGMENT_BLEND_SQL = _round_sql(
+    FITTED_SQL
+    + f""",
+r as (select segment, count(*) n, sqrt(avg(power(t - ({" + ".join(f"one.w{i} * m{i}" for i in range(3))}), 2))) rmsle_overall,
+  sqrt(avg(power(t - ({" + ".join(f"coalesce(fitted.weight_{m}, one.w{i}) * m{i}" for i, m in enumerate(MODELS))}), 2))) rmsle_segments
+  from errs left join fitted using (segment), one where snapshot_name = '{LAST}' group by 1)""",
+    ["n", "rmsle_overall", "rmsle_segments"], "r", ("segment",),
+)
 
 
 def btyd_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,7 +524,9 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "streaming_daily_panel": (streaming_daily_panel, STREAM_SQL),
         "streaming_regularity": (streaming_regularity, O.base_sql(O.EVENTS_PANEL, EVENTS, REGULAR_NAMES)),
         "late_events_snapshot": (late_events_snapshot, O.snapshot_sql(O.EVENTS_PANEL, EVENTS, N.feature_names(EVENTS))),
-        "simplex_weights": (simplex_weights, None),
+        "simplex_weights": (simplex_weights, SIMPLEX_SQL),
+        "segment_weights": (_pred(segment_weights, ("segment",)), SEGMENT_WEIGHTS_SQL),
+        "segment_blend_scores": (_pred(segment_blend_scores, ("segment",)), SEGMENT_BLEND_SQL),
         "bgnbd_expected": (bgnbd_expected, None),
         "gamma_gamma_spend": (gamma_gamma_spend, None),
         "gbt_hurdle": (gbt_hurdle, None),
