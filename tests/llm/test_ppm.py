@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import catalog, ppm
@@ -111,3 +112,23 @@ def test_query_against_plain_model(spark, sf_dir="/root/testdata/sf0.001"):
     texts = dict(rows)
     unseen = [r for r in found if r.held_out and texts[r.doc_id] and texts[r.doc_id] not in {t for i, t in rows if not held(i)}]
     assert sum(r.score for r in unseen) < 0
+
+
+def test_counts_of_a_block(monkeypatch):
+    """Words and grams of a block against plain counters, with grams merged many times and with a window of many texts."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.choice(list(b"ab \n\tc"), rng.integers(0, 40))) for _ in range(300)] + [b"", b" lead", b"trail\x0b", "汉字\x85 \x1c x".encode()]
+    out = rng.random(len(texts)) < 0.3
+    words, grams = Counter(), Counter()
+    for t, h in zip(texts, out, strict=True):
+        words.update({w: 0 for w in [b"", *t.split()]} if h else Counter([b"", *t.split()]))
+        grams.update({g: 0 for g in ppm.grams([t]).tolist()} if h else Counter(ppm.grams([t]).tolist()))
+    distinct, n, at, sizes = ppm._words([memoryview(t) for t in texts], out)
+    assert dict(zip(distinct.to_pylist(), n.tolist(), strict=True)) == dict(words) and distinct[-1].as_py() == b""
+    assert [distinct[int(i)].as_py() for i in at] == [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    for window, merged_above in ((100, 5), (ppm.WINDOW, ppm.WINDOW)):
+        monkeypatch.setattr(ppm, "WINDOW", merged_above)
+        monkeypatch.setattr(ppm.windows, "__defaults__", (window,))
+        g, n = ppm._counted([memoryview(t) for t in texts], out, ppm.ORDER)
+        assert dict(zip(g.tolist(), n.tolist(), strict=True)) == dict(grams) and (np.diff(g) > 0).all()
