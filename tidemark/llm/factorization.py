@@ -3,7 +3,7 @@
 score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j). The pairs cost linear time by the sum-of-squares
 identity: half of |sum_i v_i x_i|^2 - sum_i |v_i x_i|^2. A document's features are buckets that it does or doesn't have;
 x_i says how surely the bucket tells the classes apart in the sample (its log-odds over their standard error), by itself or
-together with another frequent one, so that the many words that tell nothing stay near 0 and those that tell only in pairs don't.
+together with any other one, so that the many words that tell nothing stay near 0 and those that tell only in pairs don't.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -26,8 +26,9 @@ RANK = 8
 EPOCHS = 8
 STEPS = 400
 FOLDS = 5
-#: Most frequent buckets whose pairs are looked at, and standard errors that the best of so many pairs has by chance.
-PAIRED = 512
+#: Groups that all buckets are dealt into when pairs are screened, how often, and standard errors that a group's best partner has by chance.
+GROUPS = 1024
+ROUNDS = 6
 SURE = 4.5
 
 
@@ -69,41 +70,55 @@ def certainty(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets:
     p, q = max(labels.sum(), 1), max((1 - labels).sum(), 1)
     a = 0.5 * p / (p + q)
     odds = np.log((yes + a) / (p - yes + 1)) - np.log((no + 0.5 - a) / (q - no + 1))
-    z = np.abs(odds) / np.sqrt(1 / (yes + a) + 1 / (no + 0.5 - a))
+    z = np.maximum(np.abs(odds) / np.sqrt(1 / (yes + a) + 1 / (no + 0.5 - a)) - 1, 0)  # what tells nothing stands one off by chance
     x = np.where(yes + no > 1, z * z / (z * z + 9), 0)
     x[0] = 1
     return x.astype(np.float32)
 
 
-def paired(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets: int, most: int = PAIRED) -> np.ndarray:
-    """By bucket, from 0 to 1: how surely its best partner among the most frequent buckets turns what it tells (the contrast of the four log-odds, in standard errors)."""
+def paired(ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, buckets: int, groups: int = GROUPS, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """By bucket, from 0 to 1: how surely it tells the classes apart together with some other bucket, whichever of all that is.
+
+    Each round deals all buckets into groups with random signs. Two buckets that tell only together vary together in another
+    way in one class than in the other, and so do the signed sums of their groups. A bucket counts by the best partner of its
+    group, in the last but one of the rounds, so that those that only share a group with such a bucket don't. A round costs
+    the sample's size and rows * groups**2, whatever the number of buckets, and no pair of buckets is left out.
+    """
     n = len(starts)
-    rows = np.repeat(np.arange(n), np.diff(np.append(starts, len(ids))))
+    size = np.diff(np.append(starts, len(ids)))
     often = np.bincount(ids, minlength=buckets)
-    often[often > 0.98 * n] = 0  # a bucket that all have tells nothing
-    top = np.argsort(-often, kind="stable")[:most]
-    top = np.sort(top[often[top] >= 8])
+    often[0] = 0  # the bucket that all have
+    seen = np.flatnonzero(often >= 8)
     out = np.zeros(buckets, np.float32)
-    if len(top) < 2:
+    if len(seen) < 2 or min(labels.sum(), n - labels.sum()) < 8:
         return out
-    place = np.full(buckets, -1)
-    place[top] = np.arange(len(top))
-    own = place[ids] >= 0
-    held = np.zeros((n, len(top)), np.float32)
-    held[rows[own], place[ids[own]]] = 1
-    contrast, variance = 0.0, 0.0
-    for sign, label in ((1, 1), (-1, 0)):
-        x = held[labels == label]
-        both = (x.T @ x).astype(np.float64)
-        one = x.sum(0, dtype=np.float64)
-        cells = [(1, both), (-1, one[:, None] - both), (-1, one[None, :] - both), (1, len(x) - one[:, None] - one[None, :] + both)]
-        for turn, count in cells:
-            contrast = contrast + sign * turn * np.log(count + 0.5)
-            variance = variance + 1 / (count + 0.5)
-    z = np.abs(contrast) / np.sqrt(variance)
-    np.fill_diagonal(z, 0)
-    z = np.maximum(z.max(1) - SURE, 0)
-    out[top] = z * z / (z * z + 9)
+    trust = 1 / (1 + size / size.mean())  # sums over long documents are noisy
+    rng = np.random.default_rng(seed)
+    held = np.zeros((rounds, len(seen)))
+    for k in range(rounds):
+        group = rng.integers(0, groups, buckets)
+        sign = np.where(rng.random(buckets) < 0.5, -1.0, 1.0) * (often > 0)
+        spread = np.zeros((2, groups, groups))
+        for label in (0, 1):
+            docs = np.flatnonzero(labels == label)
+            total, moment = np.zeros(groups), np.zeros((groups, groups))
+            for lo in range(0, len(docs), 2048):  # bounds the dense sums
+                part = docs[lo : lo + 2048]
+                seg = np.repeat(np.arange(len(part)), size[part])
+                own = ids[np.repeat(starts[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())]
+                sums = np.bincount(seg * groups + group[own], weights=sign[own], minlength=len(part) * groups).reshape(-1, groups).astype(np.float32)
+                weighed = sums * trust[part, None].astype(np.float32)
+                total += weighed.sum(0, dtype=np.float64)
+                moment += sums.T @ weighed
+            whole = trust[docs].sum()
+            spread[label] = moment / whole - np.outer(total, total) / whole**2
+        own = np.sqrt(np.maximum(np.diagonal(spread, axis1=1, axis2=2).mean(0), 1e-9))
+        apart = np.abs(spread[1] - spread[0]) / np.outer(own, own)
+        np.fill_diagonal(apart, 0)
+        usual = np.median(apart[apart > 0]) / 0.6745 if (apart > 0).any() else 1.0
+        held[k] = (apart.max(1) / max(usual, 1 / np.sqrt(n)))[group[seen]]
+    z = np.maximum(np.sort(held, axis=0)[min(1, rounds - 1)] - SURE, 0)
+    out[seen] = z * z / (z * z + 9)
     return out
 
 
@@ -166,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, most_rows: int
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     known = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most_rows).select(F.col("doc_id").alias("_id"), "label")
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"])  # most_rows rows of 12 bytes
-    own = Window.partitionBy("_id").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
-    rows = rows.withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_id", "_k")
+    rows = rows.drop("_id")
+    first = F.struct(F.xxhash64("text"), F.xxhash64(*rows.columns))
+    rows = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*rows.columns), first).alias("_row")).select("_row.*")  # each task hands on one row a document
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
