@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import sequence as S
 from tidemark.operators import snapshot as N
+from tidemark.plans import by_hand as H
 from tidemark.plans import features as P
 from tidemark.plans import oracle as O
 from tidemark.plans.config import EVENTS, EVENTS_SEQUENCE, ORDERS, ORDERS_SEQUENCE, SnapshotConfig
@@ -161,9 +162,10 @@ from customer c left join filled f on c.c_custkey = f.user_id"""
     }
     for name, (part, names) in _base_families(ORDERS).items():
         out[name] = (_base_query(part, names, "orders", ORDERS), O.base_sql(O.ORDERS_PANEL, ORDERS, names))
+    by_hand = H.families(O.ORDERS_PANEL, ORDERS.cutoff, ORDERS.windows)
     for family in P.DERIVED:
         name = {"window_ratios": "ratios_window"}.get(family, family)
-        out[name] = (_derived_query(family, ORDERS), O.derived_sql(O.ORDERS_PANEL, ORDERS, family))
+        out[name] = (_derived_query(family, ORDERS), by_hand[family])
     for family in S.FAMILIES:
         out[family] = (_sequence_query(family), O.sequence_sql(O.ORDERS_PANEL, ORDERS_SEQUENCE, (family,)))
     return out

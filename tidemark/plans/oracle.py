@@ -93,11 +93,6 @@ def base_sql(panel: str, c: SnapshotConfig, names: list[str]) -> str:
     return f"{filled_ctes(panel, c)}\nselect user_id, {_rounded(names)} from filled"
 
 
-def derived_sql(panel: str, c: SnapshotConfig, family: str) -> str:
-    texts = P.DERIVED[family](c)
-    return f"{filled_ctes(panel, c)},\nfinal as (select user_id, {_select(texts)} from filled)\nselect user_id, {_rounded([n for n, _ in texts])} from final"
-
-
 def snapshot_sql(panel: str, c: SnapshotConfig, names: list[str]) -> str:
     texts = [x for family in P.DERIVED.values() for x in family(c)]
     return f"{filled_ctes(panel, c)},\nfinal as (select *, {_select(texts)} from filled)\nselect user_id, date '{c.cutoff}' cutoff_date, {_rounded(['target', *names])} from final"
