@@ -132,3 +132,28 @@ def test_counts_of_a_block(monkeypatch):
         monkeypatch.setattr(ppm.windows, "__defaults__", (window,))
         g, n = ppm._counted([memoryview(t) for t in texts], out, ppm.ORDER)
         assert dict(zip(g.tolist(), n.tolist(), strict=True)) == dict(grams) and (np.diff(g) > 0).all()
+
+
+def test_a_block_takes_little_memory_beyond_its_texts(monkeypatch):
+    """Words and grams are counted by windows, in few numbers for each; counts beyond what stands beside a gram in one number are whole."""
+    rng = np.random.default_rng(8)
+    texts = [memoryview(b" ".join(bytes(rng.choice(list(b"abc"), 3)) for _ in range(60)) + b"zz" * 900) for _ in range(400)]
+    out = np.arange(len(texts)) % 7 == 0
+    peaks = []
+    for window in (1 << 30, 1 << 15):
+        monkeypatch.setattr(ppm, "WORDS_WINDOW", window)
+        most = []
+        split = ppm._words
+        monkeypatch.setattr(ppm, "_words", lambda run, held, split=split, most=most: most.append(sum(map(len, run))) or split(run, held))
+        words, n, _ = ppm._word_counts(texts, out)
+        monkeypatch.setattr(ppm, "_words", split)
+        peaks.append(max(most))
+        counts = Counter(w for t, h in zip(texts, out, strict=True) for w in [b"", *bytes(t).split()] if not h)
+        assert {w: k for w, k in zip(words.to_pylist(), n.tolist(), strict=True) if k} == counts
+    assert peaks[1] <= 1 << 15 < peaks[0]
+    packed = ppm._packed_counts(texts, out, ppm.ORDER)
+    grams = Counter(g for t, h in zip(texts, out, strict=True) for g in ppm.grams([t]).tolist() if not h)
+    assert packed.dtype == np.int64 and (np.diff(packed >> ppm.BITS) >= 0).all() and max(grams.values()) > 100 * ppm.MOST
+    assert len(packed) <= len(set(packed >> ppm.BITS)) + sum(grams.values()) // ppm.MOST
+    g, n = ppm._unpacked(packed)
+    assert {a: b for a, b in zip(g.tolist(), n.tolist(), strict=True) if b} == grams

@@ -33,6 +33,8 @@ from tidemark.llm.vector_blocks import longs, packed_longs
 
 ORDER = 5
 BITS = 9
+#: The largest count that stands beside a gram in one number: BITS are left below the longest gram's.
+MOST = (1 << BITS) - 1
 #: The symbol before and after a text; bytes are 0 to 255.
 EDGE = 256
 SYMBOLS = 257
@@ -40,6 +42,8 @@ SYMBOLS = 257
 BLOCK = 24 << 20
 #: Bytes of texts whose grams are made at a time; a longer text is taken whole.
 WINDOW = 1 << 18
+#: Bytes of texts that are split into words at a time, likewise.
+WORDS_WINDOW = 1 << 21
 #: Costs are in units of 1 / UNIT.
 UNIT = 10**9
 #: Stands for the gram in rows of words, since a null would turn grams into doubles in Arrow batches.
@@ -147,31 +151,76 @@ def _words(texts: list[memoryview], held: np.ndarray) -> tuple[pa.Array, np.ndar
     return distinct, n, at, np.bincount(of_text, minlength=len(texts))
 
 
+def _word_counts(texts: list[memoryview], held: np.ndarray) -> tuple[pa.Array, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """As _words, with the words of all texts and how many each text has by windows, and the empty word anywhere; split by windows, for the sake of memory."""
+    found = []
+    for lo, run in windows(texts, WORDS_WINDOW):
+        found.append(_words(run, held[lo : lo + len(run)]))
+    code = pa.concat_arrays([words for words, *_ in found]).dictionary_encode()
+    codes = np.split(code.indices.to_numpy(), np.cumsum([len(words) for words, *_ in found])[:-1])
+    counts = np.zeros(len(code.dictionary), np.int64)
+    for own, (_, n, _, _) in zip(codes, found, strict=True):
+        counts[own] += n
+    return code.dictionary, counts, [(own[at], sizes) for own, (_, _, at, sizes) in zip(codes, found, strict=True)]
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal ones begins in sorted keys."""
     return np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
 
 
-def _counted(texts: list[memoryview], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of the texts in order, and how often each stands in those that are learned from."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams in order, and the count of each."""
+    first = _runs(packed >> BITS)
+    return packed[first] >> BITS, np.add.reduceat(packed & MOST, first) if len(first) else np.zeros(0, np.int64)
+
+
+def _slices(packed: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Runs of about so many rows of sorted packed counts, none of which ends within a gram."""
+    lo = 0
+    while lo < len(packed):
+        hi = min(lo + most, len(packed))
+        if hi < len(packed):
+            hi = int(np.searchsorted(packed, packed[hi - 1] | MOST, "right"))
+        yield packed[lo:hi]
+        lo = hi
 
-    def merge() -> None:
-        kinds, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-        at = np.argsort(kinds, kind="stable")  # sorted runs are merged
-        kinds, counts = kinds[at], counts[at]
-        first = _runs(kinds)
-        found[:] = [(kinds[first], np.add.reduceat(counts, first) if len(first) else counts)]
 
+def _summed(packed: np.ndarray) -> np.ndarray:
+    """Packed counts, sorted in place, with the rows of each gram as one; of a count beyond MOST the rest stands in further rows."""
+    packed.sort()
+    out = [packed[:0]]
+    for part in _slices(packed, WINDOW):
+        kinds, n = _unpacked(part)
+        rows = np.maximum(1, -(-n // MOST))
+        each = np.full(int(rows.sum()), MOST, np.int64)
+        each[np.cumsum(rows) - 1] = n - (rows - 1) * MOST
+        out.append(np.repeat(kinds << BITS, rows) | each)
+    return np.concatenate(out)
+
+
+def _packed_counts(texts: list[memoryview], held: np.ndarray, order: int) -> np.ndarray:
+    """The distinct grams of the texts with their counts in those that are learned from, as _summed has them: one number a gram, for the sake of memory."""
+    found, new, fresh = np.zeros(0, np.int64), [], 0
     for lo, run in windows(texts):
         learned = np.repeat(~held[lo : lo + len(run)], [len(t) + 1 for t in run])
-        keys = np.sort(grams(run, order) << 1 | learned)
-        first = _runs(keys >> 1)
-        found.append((keys[first] >> 1, np.add.reduceat(keys & 1, first)))
-        if sum(len(k) for k, _ in found[1:]) > len(found[0][0]) + 4 * WINDOW:  # so that a gram is merged few times
-            merge()
-    merge()
-    return found[0]
+        new.append(_summed(grams(run, order) << BITS | learned))
+        fresh += len(new[-1])
+        if fresh > len(found) // 2 + 4 * WINDOW:  # so that a gram is merged few times
+            new.append(found)
+            found, fresh = np.concatenate(new), 0
+            new.clear()
+            found = _summed(found)
+    new.append(found)
+    del found
+    both = np.concatenate(new)
+    new.clear()
+    return _summed(both)
+
+
+def _counted(texts: list[memoryview], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of the texts in order, and how often each stands in those that are learned from."""
+    return _unpacked(_packed_counts(texts, held, order))
 
 
 def _asked(blocks: DataFrame, order: int) -> DataFrame:
@@ -182,12 +231,12 @@ def _asked(blocks: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 texts, held = _texts(r), _held(r)
-                g, n = _counted(texts, held, order)
-                for lo in range(0, len(g), WINDOW):
-                    part = g[lo : lo + WINDOW]
-                    yield pa.record_batch([np.full(len(part), r["block"]), part, pa.nulls(len(part), pa.binary()), n[lo : lo + WINDOW]], schema=schema)
-                del g, n
-                words, n = _words(texts, held)[:2]
+                packed = _packed_counts(texts, held, order)
+                for rows in _slices(packed, WINDOW):
+                    g, n = _unpacked(rows)
+                    yield pa.record_batch([np.full(len(g), r["block"]), g, pa.nulls(len(g), pa.binary()), n], schema=schema)
+                del packed, rows, g, n
+                words, n = _word_counts(texts, held)[:2]
                 for lo in range(0, len(words), WINDOW):
                     part = words[lo : lo + WINDOW].cast(pa.binary())
                     yield pa.record_batch([np.full(len(part), r["block"]), np.full(len(part), NO_GRAM), part, n[lo : lo + WINDOW]], schema=schema)
@@ -252,40 +301,43 @@ def costs(counted: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def _scored(blocks: DataFrame, answered: DataFrame, order: int, train_tokens: int, kinds: int) -> DataFrame:
-    """The rows of all blocks with their scores; answered has by block the cost of each gram, and the count of each word that other blocks have too."""
+def _scored(blocks: DataFrame, answered: DataFrame, told: DataFrame, order: int, train_tokens: int, kinds: int) -> DataFrame:
+    """The rows of all blocks with their scores; answered has by block the cost of each gram, told the count of each word that other blocks have too."""
     bottom = train_tokens + ADDED * (kinds + 1)
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        (r,) = block.to_pylist()
+        is_told = pc.is_valid(block["word"])
+        told = block.select(["word", "value", "own"]).filter(is_told)
+        (r,) = block.filter(pc.invert(is_told)).to_pylist()
         texts, held = _texts(r), _held(r)
-        of_grams = pc.not_equal(answers["gram"], NO_GRAM)
-        told = answers.filter(pc.invert(of_grams))
-        answers = answers.select(["gram", "value"]).filter(of_grams)
-        known, cost = answers["gram"].to_numpy(), answers["value"].to_numpy()
-        del answers, of_grams
-        known, total = pd.Index(known), []
+        known, cost = pd.Index(answers["gram"].to_numpy()), answers["value"].to_numpy()
+        total = []
         for _, run in windows(texts):
             each = cost[known.get_indexer(grams(run, order))]
             total.append(np.add.reduceat(each, np.cumsum([0] + [len(t) + 1 for t in run[:-1]])))
         del known, cost
-        words, count, at, sizes = _words(texts, held)
+        words, count, parts = _word_counts(texts, held)
         place = pc.index_in(told["word"].cast(pa.large_binary()), value_set=words).to_numpy()
         count[place] += told["value"].to_numpy() - told["own"].to_numpy()
-        weight = np.log10((count + ADDED) / bottom)
-        seen = np.concatenate([[0], np.cumsum(count[at] > 0)])
-        ends = np.cumsum(sizes)
-        of_word, last = weight[at], float(weight[-1])
-        base = [fsum([*of_word[a:b].tolist(), last]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        weight, end = np.log10((count + ADDED) / bottom), words.index(pa.scalar(b"", words.type)).as_py()
+        last = float(weight[end])
+        base, n_known = [], []
+        for at, sizes in parts:
+            seen = np.concatenate([[0], np.cumsum(count[at] > 0)])
+            ends = np.cumsum(sizes)
+            of_word = weight[at]
+            base += [fsum([*of_word[a:b].tolist(), last]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            n_known.append(seen[ends] - seen[ends - sizes] + int(count[end] > 0))
         out = {
-            "doc_id": pa.array(longs(r["ids"], r["ids_there"]), pa.int64()), "held_out": held, "n_tokens": sizes + 1, "n_known": seen[ends] - seen[ends - sizes] + int(count[-1] > 0),
+            "doc_id": pa.array(longs(r["ids"], r["ids_there"]), pa.int64()), "held_out": held, "n_tokens": np.concatenate([sizes for _, sizes in parts]) + 1, "n_known": np.concatenate(n_known),
             "train_tokens": np.full(len(texts), train_tokens), "base_score": base, "score": np.concatenate(total) / UNIT,
         }
         pa.default_memory_pool().release_unused()  # workers are kept for later tasks
         return pa.table(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
+    beside = blocks.unionByName(told, allowMissingColumns=True)
+    return beside.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, most: int = BLOCK) -> DataFrame:
@@ -307,11 +359,11 @@ def lm_scores(docs: DataFrame, order: int = ORDER, most: int = BLOCK) -> DataFra
     vocabulary = settle(of_words.groupBy("word").agg(F.sum("n").alias("value"), F.count("*").alias("blocks")), "words")
     train_tokens, kinds = vocabulary.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count(F.when(F.col("value") > 0, 1))).first()
     # a word of one block alone is known there: most words of a large corpus stand in one text
-    told = settle(of_words.join(vocabulary.where("blocks > 1"), "word").where("value <> n").select("block", F.lit(NO_GRAM).cast("long").alias("gram"), "word", "value", F.col("n").alias("own")), "told")
+    told = settle(of_words.join(vocabulary.where("blocks > 1"), "word").where("value <> n").select("block", "word", "value", F.col("n").alias("own")), "told")
     drop(vocabulary)
     counted = settle(of_grams.groupBy("gram").agg(F.sum("n").alias("n")), "counted")
     priced = costs(counted, order)
-    priced_grams = of_grams.select("block", "gram").join(priced, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("cost").alias("value"), F.lit(0).cast("long").alias("own"))
-    out = settle(_scored(blocks, priced_grams.unionByName(told), order, train_tokens, kinds), "scores")
+    priced_grams = of_grams.select("block", "gram").join(priced, "gram").select("block", "gram", F.col("cost").alias("value"))
+    out = settle(_scored(blocks, priced_grams, told, order, train_tokens, kinds), "scores")
     drop(blocks, asked, told, counted, priced)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
