@@ -101,3 +101,30 @@ def test_classes_without_any_doc_id(spark):
     got = J.join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(None, 36, None), (1, 36, 1), (None, 36, None), (None, 0, None), (2, 36, 1), (None, 1, None)], key=str)
     assert list(J.PrefixTree([]).similar(np.array([1], np.uint64))) == []
+
+
+def test_few_texts_but_the_wanted_ones_are_shuffled(spark):
+    docs = spark.range(20_000).selectExpr("id * 7919 - 5 AS doc_id", "'x' AS text").unionAll(spark.createDataFrame([(None, "x"), (-5, "y")], "doc_id long, text string"))
+    ids = spark.range(0, 20_000, 50).selectExpr("id * 7919 - 5 AS doc_id")
+    left = J.sieved(docs, ids)
+    assert left.join(ids, "doc_id").count() == 401 and left.count() <= 420
+    assert J.sieved(docs, ids, bits=8).join(ids, "doc_id").count() == 401  # a full map lets all through
+    assert J.sieved(docs, ids.limit(0)).count() == 0
+
+
+def test_the_join_shuffles_texts_of_wanted_documents_alone(spark):
+    """Without broadcasts by size, as with many documents."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(30))
+    rows = [(i, text()) for i in range(400)] + [(400, "a b c d e f g"), (401, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(400,), (7,)], "doc_id long")
+    last = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = J._sets_of(docs, ids, last, 5)
+        assert plan.count() == 2
+        assert "LeftSemi" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

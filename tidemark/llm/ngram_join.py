@@ -45,6 +45,8 @@ SMALL = 48
 #: Prefix shingles in a bucket, about; partners of a class that are verified together, about.
 BUCKET = 1_000_000
 TOGETHER = 512
+#: Bits of the sieve that rows without a wanted doc_id are kept out of a shuffle by: 8 MB, whatever the number of rows.
+SIEVE = 1 << 26
 #: Tasks hold so many packed shingles before they hand them on.
 HELD = 1 << 20
 
@@ -289,10 +291,25 @@ class PrefixTree:
                 yield place
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, last, words: int) -> DataFrame:
-    """cid and tokens (packed, in global order) of the wanted classes, from their first documents' texts."""
-    ids = reps.join(wanted, "cid").select(F.col("rep").alias("_rep"))
-    texts = docs.join(ids, F.col("doc_id") == F.col("_rep")).select("text")
+def sieved(docs: DataFrame, ids: DataFrame, bits: int = SIEVE) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (doc_id), and a few others: those whose hash meets that of one of ids.
+
+    The hashes are bits of a map, which is broadcast, so rows are left out where they are read. More ids than bits only let more rows through.
+    """
+
+    def place(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(bits)) + 1  # bits are counted from 1
+
+    sieve = ids.groupBy(F.bitmap_bucket_number(place("doc_id")).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("doc_id"))).alias("_bits"))
+    at = F.bitmap_bit_position(place("doc_id"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return docs.join(F.broadcast(sieve), (F.bitmap_bucket_number(place("doc_id")) == F.col("_part")) & there, "left_semi")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, last, words: int) -> DataFrame:
+    """cid and tokens (packed, in global order) of the classes whose first documents are ids (doc_id, settled)."""
+    texts = sieved(docs, ids).join(ids, "doc_id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,6 +322,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, last, words: i
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets are similar. Each a's partners are dealt to so many trees as they need."""
+    sets = sets.hint("merge")  # as large as the texts: a few that could be broadcast are shuffled like many
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("salts"))
     dealt = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     partners = dealt.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "tokens")
@@ -335,7 +353,7 @@ def block_join(members: DataFrame, sets: DataFrame, percent: int = PERCENT, bloc
     own = dealt.withColumns({"block": F.pmod(F.xxhash64("cid"), F.col("blocks")), "asks": F.lit(False)})
     cells = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     asking = dealt.where("label <> main").withColumns({"block": F.explode(cells), "asks": F.lit(True)})
-    rows = own.unionByName(asking).join(sets, "cid").select("token", "block", "asks", "cid", "label", "all", "tokens")
+    rows = own.unionByName(asking).join(sets.hint("merge"), "cid").select("token", "block", "asks", "cid", "label", "all", "tokens")
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         token = int(key[0])
@@ -389,7 +407,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
     starred = starred.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"))
     pairs = settle(pairs.unionByName(starred).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(members.select("cid")).distinct()
-    sets = settle(_sets_of(named_docs, wanted, reps, last, words), "sets")
+    wanted = settle(reps.join(wanted, "cid").select(F.col("rep").alias("doc_id")), "wanted")
+    sets = settle(_sets_of(named_docs, wanted, last, words), "sets")
     links = settle(verified(pairs, sets, percent), "links")
     labels = components(links).select(F.col("vertex").alias("cid"), F.col("component").alias("label"))
     labelled = members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -402,7 +421,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int
     edges = links.join(by.withColumnsRenamed({"cid": "a", "rep": "ra"}), "a").join(by.withColumnsRenamed({"cid": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     groups = components(edges)
     named = settle(reps.join(groups, reps["rep"] == groups["vertex"], "left").select("cid", F.coalesce("component", "rep").alias("component_id")), "named")
-    drop(met, uncounted, pairs, sets, apart)
+    drop(met, uncounted, pairs, wanted, sets, apart)
     full = rows.where("n > 0").join(named, "cid", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty), links
