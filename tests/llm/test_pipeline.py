@@ -6,6 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 pipeline = pytest.importorskip("corpus_pipeline")
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +76,14 @@ def test_packing_stage_on_nulls_and_names_that_clash(spark):
     got = dict(pipeline.STAGES)["best-fit packing"](spark, docs, "").collect()
     assert sorted(r.length for r in got)[:3] == [1, 1, 1] and len({(r.sequence_id, r.offset) for r in got}) == 4
     assert dict(pipeline.STAGES)["best-fit packing"](spark, docs.limit(0), "").count() == 0
+
+
+def test_a_stage_that_the_next_one_has_read_leaves_the_disk(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, "text") for i in range(5)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr(pipeline, "STAGES", [(f"stage {k}", lambda spark, docs, sf_dir: docs.withColumn("text", F.concat("text", F.lit("+")))) for k in range(4)])
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    assert sorted(tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect()) == [(i, "text++++") for i in range(5)]
+    assert [p.name.split("-")[1] for p in (tmp_path / "shared").iterdir()] == ["stage2"]
+    assert spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 5
