@@ -102,3 +102,30 @@ def test_out_of_fold_predictions_see_earlier_snapshots_alone(spark):
     found = {r.user_id: r.residual_prediction for r in T.out_of_fold(net, both, ["a", "b"], **o).collect()}
     spoiled = both.selectExpr("user_id", "tensor", "if(snapshot_name = 'b', 1e6, target) as target", "snapshot_name")
     assert len(found) == 40 and found == {r.user_id: r.residual_prediction for r in T.out_of_fold(net, spoiled, ["a", "b"], **o).collect()}
+
+
+def test_a_network_goes_through_its_rows_in_strips():
+    """No array has more rows than a strip, and the sums are those over all rows."""
+    net, rng = N.tcn(3, 4), np.random.default_rng(6)
+    w, x, y = net.start(3), rng.normal(size=(3 * N.STRIP + 5, 20, 3)), rng.normal(size=3 * N.STRIP + 5)
+    out, held = net.chain.forward(net.named(w), x)
+    grads = net.chain.backward(net.named(w), held, 2 * (out[:, 0] - y)[:, None])[1]
+    seen, forward = [], net.chain.forward
+    net.chain.forward = lambda p, rows: seen.append(len(rows)) or forward(p, rows)
+    loss, gradient = net.gradient(w, x, y)
+    assert net.predict(w, x) == pytest.approx(out[:, 0])
+    assert max(seen) <= N.STRIP and sum(seen) == 2 * len(x)
+    assert loss == pytest.approx(((out[:, 0] - y) ** 2).sum())
+    assert gradient == pytest.approx(np.concatenate([grads[n].ravel() for n in net.names]))
+    assert net.predict(w, x[:0]).shape == (0,)
+
+
+def test_the_units_of_a_small_batch_are_shared_by_the_cores(spark):
+    """A step over a table that Spark would put into one partition has several tasks."""
+    data = rows(spark, 128)
+    units = T.settle(T.packed(data, T.dealt(data, 2), unit=4), "units", "batch")
+    assert units.count() == 32
+    for b in range(2):
+        step = units.where(units["batch"] == b)
+        assert step.select("_metadata.file_path").distinct().count() >= 3
+        assert step.rdd.getNumPartitions() >= 3
